@@ -1,0 +1 @@
+"""The studied system has no streaming operators, so there is nothing to re-express here."""
