@@ -12,6 +12,7 @@ from strictasof.operators import prior as P
 from strictasof.operators import speed
 from strictasof.functions import scalars as S
 from strictasof.plans import matrix
+from strictasof.session import stage_table
 
 from .oracle import ENTRIES, FULL, IDS, rnd
 from .registry import Registry, r6
@@ -163,7 +164,7 @@ PACE_SQL = QUANTILE_SQL + f"""
            CAST(CASE WHEN beta IS NULL AND starts > 0 THEN 1 ELSE 0 END AS BIGINT) AS f103_unavailable
     FROM pace""")
 def _(spark, folder):
-    rows = X.add_pace_aptitude(X.add_lead_quantile(entries(spark, folder)))
+    rows = X.add_pace_aptitude(stage_table(X.with_pace_pair(X.add_lead_quantile(entries(spark, folder)))))
     return rows.select(*ID, r6("f103", digits=5), F.col("f103_unavailable").cast("long"))
 
 
@@ -211,7 +212,7 @@ PREV_RESULT = f"""
 
 
 def previous_result(spark, folder, **options):
-    rows = X.add_features(entries(spark, folder), [X.previous_result(**options)])
+    rows = X.add_features(X.with_last_3f_rank(entries(spark, folder)), [X.previous_result(**options)])
     return rows.select(*ID, "f601_finish_pos_prev", "f601_margin_prev", r6("f601_last3f_rank_prev"),
                        F.col("f601_finish_pos_prev_unavailable").cast("long"))
 
@@ -296,7 +297,7 @@ def _(spark, folder):
     FROM entries e LEFT JOIN main m ON m.trainer_id = e.trainer_id AND m.date = e.date""")
 def _(spark, folder):
     rows = entries(spark, folder)
-    rows = E.main_partner(X.add_stable_intent(rows), "trainer_id", "jockey_id")
+    rows = E.main_partner(X.add_stable_intent(rows), "trainer_id", "jockey_id", source=rows)
     return rows.select(*ID, F.col("f703_main_jockey_flag").cast("long"),
                        F.col("f703_main_jockey_flag_unavailable").cast("long"), "main_partner")
 
@@ -327,7 +328,7 @@ def _(spark, folder):
            CAST(CASE WHEN starts > 0 AND n IS NULL THEN 1 ELSE 0 END AS BIGINT) AS last3f_all_unavailable
     FROM mu LEFT JOIN agg USING (race_id, horse_id, owner_id, number)""")
 def _(spark, folder):
-    rows = X.add_final_section(entries(spark, folder))
+    rows = X.add_final_section(X.with_last_3f_rank(entries(spark, folder)))
     return rows.select(*ID, r6("last3f_all"), r6("last3f_recent"), r6("last3f_rank_in_race"),
                        F.col("last3f_all_unavailable").cast("long"))
 
@@ -361,8 +362,8 @@ SPEED_SQL = """
     cf AS (SELECT surface, distance, mo, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(n) OVER w AS n FROM mf
            WINDOW w AS (PARTITION BY surface, distance ORDER BY mo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     resid AS (SELECT t.*, t.time_sec - COALESCE(c.s / c.n, f.s / f.n) AS e,
-                     COALESCE(sqrt(greatest(c.q / c.n - (c.s / c.n) * (c.s / c.n), 0)),
-                              sqrt(greatest(f.q / f.n - (f.s / f.n) * (f.s / f.n), 0))) AS sd
+                     CASE WHEN c.n IS NOT NULL THEN sqrt(greatest(c.q / c.n - (c.s / c.n) * (c.s / c.n), 0))
+                          ELSE sqrt(greatest(f.q / f.n - (f.s / f.n) * (f.s / f.n), 0)) END AS sd
               FROM timed t
               LEFT JOIN cc c ON c.surface = t.surface AND c.distance = t.distance AND c.ck = t.ck AND c.mo = t.mo AND c.n >= 20
               LEFT JOIN cf f ON f.surface = t.surface AND f.distance = t.distance AND f.mo = t.mo AND f.n >= 20
@@ -396,7 +397,8 @@ def _(spark, folder):
            CAST(CASE WHEN starts > 0 AND b IS NULL THEN 1 ELSE 0 END AS BIGINT) AS fspd_unavailable
     FROM starts LEFT JOIN agg USING (race_id, horse_id, owner_id, number)""")
 def _(spark, folder):
-    rows = X.add_recent_speed(X.add_features(with_speed(spark, folder), [X.speed_history()]))
+    facts = stage_table(with_speed(spark, folder))
+    rows = X.add_recent_speed(X.add_features(facts, [X.speed_history()]), source=facts)
     return rows.select(*ID, r6("fspd_best"), r6("fspd_mean"), r6("fspd_last"), r6("fspd_recent3"), "fspd_n",
                        F.col("fspd_unavailable").cast("long"))
 
@@ -412,7 +414,7 @@ def _(spark, folder):
            CAST(CASE WHEN starts > 0 AND a IS NULL THEN 1 ELSE 0 END AS BIGINT) AS f806_unavailable
     FROM starts LEFT JOIN agg USING (race_id, horse_id, owner_id, number)""")
 def _(spark, folder):
-    rows = X.add_features(with_speed(spark, folder), [X.opponent_strength()])
+    rows = X.add_features(stage_table(X.with_rival_speed(with_speed(spark, folder))), [X.opponent_strength()])
     return rows.select(*ID, r6("f806_field_mean"), F.col("f806_n").cast("double"), F.col("f806_unavailable").cast("long"))
 
 

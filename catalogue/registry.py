@@ -30,7 +30,7 @@ class Registry:
 
 
 def r6(value: str | Column, name: str | None = None, digits: int = 6) -> Column:
-    """Half-up rounding in the form the oracle texts use."""
+    """Rounding in the form the oracle texts use (see :func:`catalogue.oracle.rnd`)."""
     column = F.col(value) if isinstance(value, str) else value
     scale = 10 ** digits
-    return (F.floor(column * scale + 0.5) / F.lit(scale)).alias(name or value)
+    return (F.floor(column * scale + 0.5003) / F.lit(scale)).alias(name or value)

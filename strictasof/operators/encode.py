@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prior import prior_mean, running_count, running_max, running_sum, with_prior
@@ -15,28 +15,31 @@ NEUTRAL_SHARE = 0.5  # middle of finish_pos / n_starters
 
 
 def with_condition_mean(df: DataFrame, condition: Sequence[str], value: Column, where: Column, out: str,
-                        order: str = "date", fallback: float | None = NEUTRAL_SHARE) -> DataFrame:
+                        order: str = "date", fallback: float | None = NEUTRAL_SHARE,
+                        source: DataFrame | None = None) -> DataFrame:
     """Mean of ``value`` over strictly earlier rows of the same condition (all rows when it is empty)."""
     seen = F.when(where, value)
-    rows = with_prior(df, condition, order, {"_s": running_sum(seen), "_n": running_count(seen.isNotNull())})
+    rows = with_prior(df, condition, order, {"_s": running_sum(seen), "_n": running_count(seen.isNotNull())},
+                      source=source)
     return rows.withColumn(out, prior_mean("_s", "_n", fallback)).drop("_s", "_n")
 
 
 def target_encode(df: DataFrame, entity: Sequence[str], condition: Sequence[str], value: Column, where: Column,
                   out: str, order: str = "date", k: float = K, fallback: float = NEUTRAL_SHARE,
-                  mean: str | None = None, with_count: bool = False, indicator: bool = True) -> DataFrame:
+                  mean: str | None = None, with_count: bool = False, indicator: bool = True,
+                  source: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the entity's strictly earlier mean under the condition, shrunk to the condition's own mean.
 
     ``where`` selects the facts. A null entity gives null, with ``<out>_unavailable`` = 1. ``mean`` names a
     column that already holds the condition's mean, so several entities can share one pass.
     """
+    source = df if source is None else source
     seen = F.when(where, value)
-    rows = df
-    prior = mean or "_mu"
+    rows, prior = df, mean or "_mu"
     if mean is None:
-        rows = with_condition_mean(rows, condition, value, where, prior, order, fallback)
-    keys = [*entity, *condition]
-    rows = with_prior(rows, keys, order, {"_s": running_sum(seen), "_n": running_count(seen.isNotNull())})
+        rows = with_condition_mean(rows, condition, value, where, prior, order, fallback, source)
+    rows = with_prior(rows, [*entity, *condition], order,
+                      {"_s": running_sum(seen), "_n": running_count(seen.isNotNull())}, source=source)
     known = all_of(F.col(e).isNotNull() for e in entity)
     new = {out: F.when(known, shrink(F.col("_n"), F.col("_s") / F.col("_n"), k, F.col(prior)))}
     if indicator:
@@ -47,30 +50,33 @@ def target_encode(df: DataFrame, entity: Sequence[str], condition: Sequence[str]
 
 
 def residual_rating(df: DataFrame, entity: str, stratum: str, value: Column, where: Column, out: str,
-                    order: str = "date", k: float = K) -> DataFrame:
+                    order: str = "date", k: float = K, source: DataFrame | None = None) -> DataFrame:
     """Mean excess of ``value`` over what its stratum did before, per entity, shrunk to the overall excess.
 
     Two chained strictly-before passes: the stratum's expectation for every fact, then the entity's mean
     residual. Facts whose stratum has no history have no residual and count nowhere.
     """
-    rows = with_condition_mean(df, [stratum], value, where, "_expected", order, fallback=None)
-    rows = rows.withColumn("_residual", F.when(where, value - F.col("_expected")))
-    seen = F.col("_residual").isNotNull()
-    rows = with_condition_mean(rows, [], F.col("_residual"), seen, "_mu", order, fallback=0.0)
-    rows = target_encode(rows, [entity], [], F.col("_residual"), seen, out, order, k, mean="_mu")
-    return rows.drop("_expected", "_residual", "_mu")
-
-
-def main_partner(df: DataFrame, owner: str, partner: str, order: str = "date", out: str = "main_partner") -> DataFrame:
+    source = (df if source is None else source).select(
+        entity, stratum, order, F.when(where, value).alias("_value"))
+    seen = F.col("_value").isNotNull()
+    facts = with_condition_mean(source, [stratum], F.col("_value"), seen, "_expected", order, fallback=None)
+    facts = facts.select(entity, order, (F.col("_value") - F.col("_expected")).alias("_residual"))
+    residual, seen = F.col("_residual"), F.col("_residual").isNotNull()
+    rows = with_condition_mean(df, [], residual, seen, "_mu", order, fallback=0.0, source=facts)
+    return target_encode(rows, [entity], [], residual, seen, out, order, k, mean="_mu", source=facts).drop("_mu")
+
+
+def main_partner(df: DataFrame, owner: str, partner: str, order: str = "date", out: str = "main_partner",
+                 source: DataFrame | None = None) -> DataFrame:
     """The partner an owner used most often before the row's date; the lowest id wins a tie.
 
     A pair's count only grows, so the largest running count among the owner's earlier pair-days is the count
     of the current favourite: a running maximum finds it without listing candidate partners per date.
     """
-    pair_days = df.where(F.col(owner).isNotNull() & F.col(partner).isNotNull()) \
-        .groupBy(owner, partner, order).agg(F.count("*").alias("_used"))
-    with_earlier = with_prior(pair_days, [owner, partner], order, {"_earlier": running_sum(F.col("_used"))})
-    upto = F.coalesce(F.col("_earlier"), F.lit(0)) + F.col("_used")
-    best = with_earlier.select(owner, order, F.struct(upto.alias("n"), (-F.col(partner)).alias("id")).alias("_b"))
+    used = (df if source is None else source).where(F.col(owner).isNotNull() & F.col(partner).isNotNull())
+    pair_days = used.groupBy(owner, partner, order).agg(F.count("*").alias("_used"))
+    upto = Window.partitionBy(owner, partner).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    best = pair_days.select(owner, order, F.struct(
+        F.sum("_used").over(upto).alias("n"), (-F.col(partner)).alias("id")).alias("_b"))
     rows = with_prior(df, [owner], order, {"_best": running_max(F.col("_b"))}, facts=best)
     return rows.withColumn(out, -F.col("_best.id")).drop("_best")

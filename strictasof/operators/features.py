@@ -9,7 +9,7 @@ same key are described as :class:`KeyedFeature` so one pass per key serves all o
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +33,18 @@ KEY = ("race_id", "horse_id")
 class KeyedFeature:
     needs: Mapping[tuple[str, ...], Mapping[str, Running]]
     columns: Callable[[], Mapping[str, Column]]
-    prepare: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
 
 
-def add_features(entries: DataFrame, features: Sequence[KeyedFeature], order: str = "date") -> DataFrame:
+def add_features(entries: DataFrame, features: Sequence[KeyedFeature], order: str = "date",
+                 source: DataFrame | None = None) -> DataFrame:
     """Add all features, with one strictly-before pass per distinct key."""
+    source = entries if source is None else source
     passes: dict[tuple[str, ...], dict[str, Running]] = {}
     for feature in features:
-        entries = feature.prepare(entries)
         for keys, aggregates in feature.needs.items():
             passes.setdefault(keys, {}).update(aggregates)
     for keys, aggregates in passes.items():
-        entries = with_prior(entries, keys, order, aggregates)
+        entries = with_prior(entries, keys, order, aggregates, source=source)
     out = {}
     for feature in features:
         out.update(feature.columns())
@@ -76,6 +76,7 @@ def with_last_3f_rank(entries: DataFrame) -> DataFrame:
 
 
 def previous_result(exclude_relegated: bool = False) -> KeyedFeature:
+    """Needs ``last_3f_rank`` on the entries."""
     where = F.col("status") != V.RELEGATED if exclude_relegated else F.lit(True)
     def columns():
         prev = F.col("_prev_result")
@@ -88,7 +89,7 @@ def previous_result(exclude_relegated: bool = False) -> KeyedFeature:
         return out | {f"{c}_unavailable": missing for c in out}
     return KeyedFeature(
         {("horse_id",): {"_prev_result": latest(_tie(), "finish_pos", "margin", "last_3f_rank", where=where)}},
-        columns, with_last_3f_rank)
+        columns)
 
 
 def recency() -> KeyedFeature:
@@ -184,12 +185,15 @@ def speed_history() -> KeyedFeature:
     }}, columns)
 
 
+def with_rival_speed(entries: DataFrame) -> DataFrame:
+    """Sum and count of the rivals' clipped speed in the row's own event; needs ``spd``."""
+    clipped = F.when(S.finished(F.col("status")), S.clip(F.col("spd"), speed.CLIP))
+    return leave_one_out(entries, ["race_id"], ["horse_id"], clipped, "rival_sum", "rival_n")
+
+
 def opponent_strength() -> KeyedFeature:
-    """Mean clipped speed of the rivals met so far: whole field minus own, then running sums."""
+    """Mean clipped speed of the rivals met so far; needs ``rival_sum`` and ``rival_n``."""
     finished = S.finished(F.col("status"))
-    def prepare(entries):
-        clipped = F.when(finished, S.clip(F.col("spd"), speed.CLIP))
-        return leave_one_out(entries, ["race_id"], ["horse_id"], clipped, "_rival_sum", "_rival_n")
     def columns():
         return {
             "f806_field_mean": prior_mean("_met_sum", "_met_n"),
@@ -197,56 +201,66 @@ def opponent_strength() -> KeyedFeature:
             "f806_unavailable": S.unavailable(prior_mean("_met_sum", "_met_n"), F.col("_finished_starts") > 0),
         }
     return KeyedFeature({("horse_id",): {
-        "_met_sum": running_sum(F.when(finished, F.col("_rival_sum"))),
-        "_met_n": running_sum(F.when(finished, F.col("_rival_n"))),
+        "_met_sum": running_sum(F.when(finished, F.col("rival_sum"))),
+        "_met_n": running_sum(F.when(finished, F.col("rival_n"))),
         "_finished_starts": running_count(finished),
-    }}, columns, prepare)
+    }}, columns)
 
 
 # ---------------------------------------------------------------------------------------------------------
 # features with their own plan
 # ---------------------------------------------------------------------------------------------------------
 
-def add_lead_quantile(entries: DataFrame, quantile: float = 0.25) -> DataFrame:
+def add_lead_quantile(entries: DataFrame, quantile: float = 0.25, source: DataFrame | None = None) -> DataFrame:
     """Low quantile of the first-corner position ratio over past events that have a first corner."""
-    first_corner = S.element_where(F.col("corners"), F.col("corner_nos"), 1).cast("double") / F.col("n_starters")
-    rows = entries.withColumn("_ratio", first_corner)
-    rows = with_prior(rows, ["horse_id"], "date", {
-        "_starts": running_count(), "_usable": running_count(F.col("_ratio").isNotNull())})
-    rows = with_prior_quantile(rows, ["horse_id"], "date", F.col("_ratio"), quantile, "f101")
+    source = entries if source is None else source
+    ratio = S.element_where(F.col("corners"), F.col("corner_nos"), 1).cast("double") / F.col("n_starters")
+    rows = with_prior(entries, ["horse_id"], "date", {
+        "_starts": running_count(), "_usable": running_count(ratio.isNotNull())}, source=source)
+    rows = with_prior_quantile(rows, ["horse_id"], "date", ratio, quantile, "f101", source=source)
     gone = (F.col("_starts") > 0) & (F.col("_usable") == 0)
-    return rows.withColumn("f101_unavailable", S.unavailable(F.col("f101"), gone)).drop("_ratio", "_starts", "_usable")
+    return rows.withColumn("f101_unavailable", S.unavailable(F.col("f101"), gone)).drop("_starts", "_usable")
 
 
 MIN_SUM_SQUARES = 1e-6
 
 
-def add_pace_aptitude(entries: DataFrame, k: float = K) -> DataFrame:
+def with_pace_pair(entries: DataFrame) -> DataFrame:
+    """Add the row's (pressure, margin) pair: one minus the rivals' mean ``f101``, and the margin in lengths."""
+    rows = leave_one_out(entries, ["race_id"], ["horse_id"], F.col("f101"), "_others", "_n_others")
+    pressure = F.when(F.col("_n_others") > 0, 1 - F.col("_others") / F.col("_n_others"))
+    return rows.withColumns({"pace_x": pressure, "pace_y": S.margin_lengths(F.col("margin"))}).drop("_others", "_n_others")
+
+
+def add_pace_aptitude(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
     """Slope of the margin on the rivals' pace pressure, shrunk to the mean slope of all earlier rows.
 
-    A past event's pressure is one minus the mean ``f101`` of the other members, so it belongs to the
-    (event, entity) row itself: it is computed once per row and the slope comes from running moments.
+    A past event's pair belongs to the (event, entity) row itself, so it is computed once per row
+    (:func:`with_pace_pair`) and the slope comes from running moments.
     """
-    rows = leave_one_out(entries, ["race_id"], ["horse_id"], F.col("f101"), "_others", "_n_others")
-    x = F.when(F.col("_n_others") > 0, 1 - F.col("_others") / F.col("_n_others"))
-    rows = rows.withColumns({"_x": x, "_y": S.margin_lengths(F.col("margin"))})
-    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    source = entries if source is None else source
+    x, y = F.col("pace_x"), F.col("pace_y")
+    both = x.isNotNull() & y.isNotNull()
     moments = {
-        "_m": running_count(both), "_sx": running_sum(F.when(both, F.col("_x"))),
-        "_sy": running_sum(F.when(both, F.col("_y"))), "_sxx": running_sum(F.when(both, F.col("_x") * F.col("_x"))),
-        "_sxy": running_sum(F.when(both, F.col("_x") * F.col("_y"))), "_starts": running_count(),
+        "_m": running_count(both), "_sx": running_sum(F.when(both, x)), "_sy": running_sum(F.when(both, y)),
+        "_sxx": running_sum(F.when(both, x * x)), "_sxy": running_sum(F.when(both, x * y)),
+        "_starts": running_count(),
     }
-    rows = with_prior(rows, ["horse_id"], "date", moments)
     spread = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("_m")
     together = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_m")
     slope = F.when((F.col("_m") >= 2) & (spread >= MIN_SUM_SQUARES), together / spread)
-    rows = rows.withColumn("_beta", slope)
-    rows = with_condition_mean(rows, [], F.col("_beta"), F.col("_beta").isNotNull(), "_mu", fallback=0.0)
-    beta = F.col("_beta")
+    sloped = lambda rows: with_prior(rows, ["horse_id"], "date", moments, source=source).withColumn("_beta", slope)
+    rows, beta = sloped(entries), F.col("_beta")
+    # the prior averages the slopes of all rows; a slope depends on (entity, date) only, so count rows per pair
+    pairs = source.groupBy("horse_id", "date").agg(F.count("*").alias("_rows"))
+    slopes = sloped(pairs).where(beta.isNotNull()).select("date", "_rows", "_beta")
+    rows = with_prior(rows, [], "date", {
+        "_bsum": running_sum(F.col("_beta") * F.col("_rows")), "_bn": running_sum(F.col("_rows"))}, facts=slopes)
+    mu = F.coalesce(F.when(F.col("_bn") > 0, F.col("_bsum") / F.col("_bn")), F.lit(0.0))
     return rows.withColumns({
-        "f103": F.when(beta.isNotNull(), S.shrink(F.col("_m"), beta, k, F.col("_mu"))),
+        "f103": F.when(beta.isNotNull(), S.shrink(F.col("_m"), beta, k, mu)),
         "f103_unavailable": S.unavailable(beta, F.col("_starts") > 0),
-    }).drop("_others", "_n_others", "_x", "_y", "_beta", "_mu", *moments)
+    }).drop("_beta", "_bsum", "_bn", *moments)
 
 
 def add_pace_interaction(entries: DataFrame, largest: int | None = None) -> DataFrame:
@@ -259,50 +273,60 @@ def add_blood_ids(entries: DataFrame) -> DataFrame:
     return entries  # sire, damsire, partner and stable ids are columns of the entry frame
 
 
-def add_blood_encoding(entries: DataFrame, k: float = K) -> DataFrame:
+def _banded(entries: DataFrame, source: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    band = S.distance_band(F.col("distance"))
+    rows = entries.withColumn("_band", band)
+    return rows, rows if source is None else source.withColumn("_band", band)
+
+
+def add_blood_encoding(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
     """Offspring results of sire and damsire under (surface, distance band)."""
-    rows = entries.withColumn("_band", S.distance_band(F.col("distance")))
+    rows, source = _banded(entries, source)
     condition, value, where = ["surface", "_band"], _share(), F.col("finish_pos").isNotNull()
-    rows = with_condition_mean(rows, condition, value, where, "_mu")
+    rows = with_condition_mean(rows, condition, value, where, "_mu", source=source)
     for entity, out in (("sire_id", "f202_sire"), ("damsire_id", "f202_damsire")):
-        rows = target_encode(rows, [entity], condition, value, where, out, k=k, mean="_mu")
+        rows = target_encode(rows, [entity], condition, value, where, out, k=k, mean="_mu", source=source)
     return rows.drop("_band", "_mu")
 
 
-def add_partner_course_encoding(entries: DataFrame, k: float = K) -> DataFrame:
-    rows = entries.withColumn("_band", S.distance_band(F.col("distance")))
+def add_partner_course_encoding(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    rows, source = _banded(entries, source)
     where = F.col("finish_pos").isNotNull() & F.col("jockey_id").isNotNull()
-    return target_encode(rows, ["jockey_id"], ["course", "_band"], _share(), where, "f704", k=k).drop("_band")
+    return target_encode(rows, ["jockey_id"], ["course", "_band"], _share(), where, "f704", k=k,
+                         source=source).drop("_band")
 
 
-def add_frame_bias(entries: DataFrame, k: float = K) -> DataFrame:
-    rows = entries.withColumn("_band", S.distance_band(F.col("distance")))
+def add_frame_bias(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    rows, source = _banded(entries, source)
     where = F.col("finish_pos").isNotNull() & F.col("frame").isNotNull()
-    return target_encode(rows, ["frame"], ["course", "_band", "n_starters"], _share(), where, "f801", k=k).drop("_band")
+    return target_encode(rows, ["frame"], ["course", "_band", "n_starters"], _share(), where, "f801", k=k,
+                         source=source).drop("_band")
 
 
-def add_course_aptitude(entries: DataFrame, k: float = K) -> DataFrame:
-    rows = entries.withColumn("_band", S.distance_band(F.col("distance")))
+def add_course_aptitude(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    rows, source = _banded(entries, source)
     where = F.col("finish_pos").isNotNull()
     return target_encode(rows, ["horse_id"], ["course", "_band"], _share(), where, "f802", k=k,
-                         indicator=False).drop("_band")
+                         indicator=False, source=source).drop("_band")
 
 
-def add_cross_encoding(entries: DataFrame, k: float = K) -> DataFrame:
+def add_cross_encoding(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
     """Results of the (sire, damsire) pair, shrunk to the mean of all pairs."""
     where = F.col("finish_pos").isNotNull() & F.col("sire_id").isNotNull() & F.col("damsire_id").isNotNull()
-    rows = target_encode(entries, ["sire_id", "damsire_id"], [], _share(), where, "f811_nick", k=k, with_count=True)
+    rows = target_encode(entries, ["sire_id", "damsire_id"], [], _share(), where, "f811_nick", k=k, with_count=True,
+                         source=source)
     return rows
 
 
-def add_partner_rating(entries: DataFrame, k: float = K) -> DataFrame:
+def add_partner_rating(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
     where = F.col("popularity").isNotNull() & F.col("finish_pos").isNotNull()
-    return residual_rating(entries, "jockey_id", "popularity", F.col("finish_pos").cast("double"), where, "f701", k=k)
+    return residual_rating(entries, "jockey_id", "popularity", F.col("finish_pos").cast("double"), where, "f701", k=k,
+                           source=source)
 
 
-def add_stable_intent(entries: DataFrame) -> DataFrame:
+def add_stable_intent(entries: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Away-from-home flag, and whether the stable's most used partner takes part."""
-    rows = main_partner(entries, "trainer_id", "jockey_id", out="_main")
+    rows = main_partner(entries, "trainer_id", "jockey_id", out="_main", source=source)
     away = S.home_away(F.col("affiliation"), F.col("course"))
     main = F.col("_main")
     return rows.withColumns({
@@ -313,17 +337,21 @@ def add_stable_intent(entries: DataFrame) -> DataFrame:
     }).drop("_main")
 
 
-def add_final_section(entries: DataFrame, n_recent: int = 5, k: float = K) -> DataFrame:
-    """Shrunken all-history and recent means of the final-600m time, and the mean in-event rank."""
-    rows = with_last_3f_rank(entries).withColumn("_l3f", F.col("last_3f").cast("double"))
-    seen = F.col("_l3f").isNotNull()
-    rows = with_condition_mean(rows, [], F.col("_l3f"), seen, "_mu", fallback=None)
+def add_final_section(entries: DataFrame, n_recent: int = 5, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    """Shrunken all-history and recent means of the final-600m time, and the mean in-event rank.
+
+    Needs ``last_3f_rank`` on the source.
+    """
+    source = entries if source is None else source
+    section = F.col("last_3f").cast("double")
+    seen = section.isNotNull()
+    rows = with_condition_mean(entries, [], section, seen, "_mu", fallback=None, source=source)
     helpers = {
-        "_starts": running_count(), "_n": running_count(seen), "_sum": running_sum(F.col("_l3f")),
+        "_starts": running_count(), "_n": running_count(seen), "_sum": running_sum(section),
         "_rank_sum": running_sum(F.when(seen, F.col("last_3f_rank"))),
     }
-    rows = with_prior(rows, ["horse_id"], "date", helpers)
-    rows = with_recent(rows, ["horse_id"], "date", TIE, F.col("_l3f"), n_recent, "_recent")
+    rows = with_prior(rows, ["horse_id"], "date", helpers, source=source)
+    rows = with_recent(rows, ["horse_id"], "date", TIE, section, n_recent, "_recent", source=source)
     n_seen = F.coalesce(F.size("_recent"), F.lit(0))
     gone = (F.col("_starts") > 0) & (F.col("_n") == 0)
     mean_all, mean_recent = prior_mean("_sum", "_n"), mean_of_array(F.col("_recent"))
@@ -334,12 +362,13 @@ def add_final_section(entries: DataFrame, n_recent: int = 5, k: float = K) -> Da
     }
     rows = rows.withColumns(out)
     rows = rows.withColumns({f"{c}_unavailable": S.unavailable(F.col(c), gone) for c in out})
-    return rows.drop("_l3f", "_mu", "_recent", *helpers)
+    return rows.drop("_mu", "_recent", *helpers)
 
 
-def add_recent_speed(entries: DataFrame, n: int = 3) -> DataFrame:
+def add_recent_speed(entries: DataFrame, n: int = 3, source: DataFrame | None = None) -> DataFrame:
     """Last and recent-mean clipped speed index; needs ``spd``."""
-    rows = with_recent(entries, ["horse_id"], "date", TIE, S.clip(F.col("spd"), speed.CLIP), n, "_recent")
+    rows = with_recent(entries, ["horse_id"], "date", TIE, S.clip(F.col("spd"), speed.CLIP), n, "_recent",
+                       source=source)
     return rows.withColumns({
         "fspd_last": F.get("_recent", F.lit(0)), "fspd_recent3": mean_of_array(F.col("_recent")),
     }).drop("_recent")

@@ -19,25 +19,26 @@ WINDOW_ROWS = 1_000_000
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], aggregates: Mapping[str, Column],
-                     where: Column | None = None) -> DataFrame:
-    """Add whole-group aggregates to every row."""
+                     where: Column | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Add whole-group aggregates to every row (taken from ``source``, by default the rows themselves)."""
     group = list(group)
-    source = df if where is None else df.where(where)
+    source = df if source is None else source
+    source = source if where is None else source.where(where)
     return df.join(source.groupBy(*group).agg(*[c.alias(n) for n, c in aggregates.items()]), group, "left")
 
 
 def leave_one_out(df: DataFrame, group: Sequence[str], own: Sequence[str], value: Column,
-                  total: str, n: str) -> DataFrame:
+                  total: str, n: str, source: DataFrame | None = None) -> DataFrame:
     """Sum and count of ``value`` over the group's members other than the row's own: whole minus own."""
     group, own = list(group), list(own)
-    rows = df.withColumn("_v", value)
-    mine = rows.groupBy(*group, *own).agg(F.sum("_v").alias("_own_sum"), F.count("_v").alias("_own_n"))
-    whole = mine.groupBy(*group).agg(F.sum("_own_sum").alias("_all_sum"), F.sum("_own_n").alias("_all_n"))
-    joined = df.join(whole, group, "left").join(mine, [*group, *own], "left")
-    return joined.withColumns({
-        total: F.coalesce("_all_sum", F.lit(0)) - F.coalesce("_own_sum", F.lit(0)),
-        n: F.coalesce("_all_n", F.lit(0)) - F.coalesce("_own_n", F.lit(0)),
-    }).drop("_own_sum", "_own_n", "_all_sum", "_all_n")
+    rows = (df if source is None else source).withColumn("_v", value)
+    mine = rows.groupBy(*group, *own).agg(F.sum("_v").alias("_sum"), F.count("_v").alias("_n"))
+    whole = mine.groupBy(*group).agg(F.sum("_sum").alias("_all_sum"), F.sum("_n").alias("_all_n"))
+    others = mine.join(whole, group).select(
+        *group, *own,
+        (F.coalesce("_all_sum", F.lit(0)) - F.coalesce("_sum", F.lit(0))).alias(total),
+        (F.col("_all_n") - F.col("_n")).alias(n))
+    return df.join(others, [*group, *own], "left")
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank",

@@ -70,15 +70,21 @@ def with_prior(
     order: str,
     aggregates: Mapping[str, Running],
     facts: DataFrame | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add, to every row of ``df``, aggregates over the facts of its key with a strictly smaller ``order``.
 
-    ``facts`` defaults to ``df`` itself. Without keys there is one series over all facts. A row whose key
-    is null gets nulls; counts are 0 where nothing came before.
+    The facts are ``df`` itself, or ``source``, a frame that also holds every (key, order) of ``df``: features
+    added one after the other all read the same source, so the plan grows by one branch per feature. ``facts``
+    is for facts that may lack dates of ``df``. Without keys there is one series over all facts. A row whose
+    key is null gets nulls; counts are 0 where nothing came before.
     """
     keys = list(keys)
     known = all_of(F.col(c).isNotNull() for c in [*keys, order])
-    source = df if facts is None else facts
+    if facts is not None:
+        source = facts
+    elif source is None:
+        source = df
     rows = source.where(known).select(*keys, order, *[a.value.alias(n) for n, a in aggregates.items()])
     if facts is not None:
         # dates on which a key has targets but no facts need a row of their own
@@ -119,7 +125,7 @@ def with_recent(
     value: Column,
     n: int,
     out: str,
-    facts: DataFrame | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add an array of the last ``n`` earlier values of the key, newest first (null values are no facts).
 
@@ -127,7 +133,7 @@ def with_recent(
     built; the lists and the window frame then hold at most ``n`` dates of ``n`` values.
     """
     keys = list(keys)
-    source = (df if facts is None else facts).withColumn("_value", value)
+    source = (df if source is None else source).withColumn("_value", value)
     source = source.where(all_of(F.col(c).isNotNull() for c in [*keys, order, "_value"]))
     by_tie = Window.partitionBy(*keys, order).orderBy(*[F.col(c).desc() for c in tie], F.col("_value").desc())
     newest = (
@@ -140,8 +146,8 @@ def with_recent(
     last_days = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)
     upto = F.slice(F.flatten(F.reverse(F.collect_list("_day").over(last_days))), 1, n)
     lists = newest.select(*keys, order, upto.alias("_upto"))
-    found = with_prior(df, keys, order, {"_recent": latest(F.col(order), F.col("_upto"))}, facts=lists)
-    return found.withColumn(out, F.col("_recent._upto")).drop("_recent")
+    found = with_prior(df, keys, order, {"_lists": latest(F.col(order), F.col("_upto"))}, facts=lists)
+    return found.withColumn(out, F.col("_lists._upto")).drop("_lists")
 
 
 def mean_of_array(values: Column) -> Column:
@@ -167,7 +173,7 @@ def with_prior_quantile(
     value: Column,
     q: float,
     out: str,
-    facts: DataFrame | None = None,
+    source: DataFrame | None = None,
     frame_rows: int = FRAME_ROWS,
 ) -> DataFrame:
     """Add the interpolated ``q`` quantile of the key's strictly earlier values.
@@ -178,9 +184,9 @@ def with_prior_quantile(
     """
     keys = list(keys)
     known = all_of(F.col(c).isNotNull() for c in [*keys, order])
-    source = (df if facts is None else facts).where(known).select(*keys, order, value.alias("_value"))
-    source = source.where(F.col("_value").isNotNull())
-    probes = df.where(known).select(*keys, order).distinct()
+    source = df if source is None else source
+    probes = source.where(known).select(*keys, order).distinct()
+    source = source.where(known).select(*keys, order, value.alias("_value")).where(F.col("_value").isNotNull())
     largest = longest_history(source, keys)
     if largest <= frame_rows:
         found = _frame_quantile(probes, source, keys, order, q)

@@ -16,6 +16,7 @@ from ..operators import features as X
 from ..operators import speed
 from ..operators.grouped import relativize
 from ..operators.prior import asof_attach, longest_history
+from ..session import stage_table
 
 Tables = Mapping[str, DataFrame]
 
@@ -55,29 +56,32 @@ CATEGORIES = (
 )
 
 
-def add_default_features(entries: DataFrame, min_session_n: int = speed.MIN_SESSION_N) -> DataFrame:
-    """The default feature set on a full entry frame (history included)."""
-    rows = speed.with_speed_index(entries, min_session_n=min_session_n)
-    rows = X.add_pace_aptitude(X.add_lead_quantile(rows))
+def with_row_facts(entries: DataFrame, min_session_n: int = speed.MIN_SESSION_N) -> DataFrame:
+    """Add the per-row facts later features aggregate: speed index, in-event rank, rivals' speed, pace pair."""
+    rows = stage_table(X.with_last_3f_rank(speed.with_speed_index(entries, min_session_n=min_session_n)))
+    rows = stage_table(X.add_lead_quantile(X.with_rival_speed(rows), source=rows))
+    return stage_table(X.with_pace_pair(rows))
+
+
+def add_default_features(facts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The default feature set for ``rows`` (default: all), computed from the full fact frame."""
+    rows = facts if rows is None else rows
+    rows = X.add_pace_aptitude(rows, source=facts)
     rows = X.add_features(rows, [
         X.previous_result(), X.recency(), X.partner_change(), X.condition_change(), X.career_rates(),
         X.speed_history(), X.opponent_strength(),
-    ])
-    rows = X.add_recent_speed(X.add_final_section(rows))
-    rows = X.add_blood_encoding(rows)
-    rows = X.add_partner_rating(rows)
-    rows = X.add_stable_intent(rows)
-    rows = X.add_partner_course_encoding(rows)
-    rows = X.add_frame_bias(rows)
-    rows = X.add_course_aptitude(rows)
-    rows = speed.add_session_bias(rows)
+    ], source=facts)
+    for add in (X.add_final_section, X.add_recent_speed, X.add_blood_encoding, X.add_partner_rating,
+                X.add_stable_intent, X.add_partner_course_encoding, X.add_frame_bias, X.add_course_aptitude,
+                speed.add_session_bias):
+        rows = add(rows, source=facts)
     return X.add_entry_basics(X.add_event_weather(X.add_event_description(rows)))
 
 
 def feature_columns(entries: DataFrame, source: DataFrame) -> list[str]:
     """The feature columns of a frame that grew out of ``source``: new columns plus the raw ids."""
     raw = set(source.columns)
-    helpers = {"spd", "last_3f_rank", "_rival_sum", "_rival_n"}
+    helpers = {"spd", "last_3f_rank", "rival_sum", "rival_n", "pace_x", "pace_y"}
     ids = [c for c in ("sire_id", "damsire_id", "jockey_id", "trainer_id") if c in raw]
     return ids + [c for c in entries.columns if c not in raw and c not in helpers]
 
@@ -96,7 +100,8 @@ def feature_matrix(
     ``expected_pace`` holds (race_id, f102); ``effects`` holds (horse_id, as_of, effect).
     """
     source = entry_frame(tables)
-    rows = base_population(add_default_features(source, min_session_n), as_of, events)
+    facts = with_row_facts(source, min_session_n)
+    rows = stage_table(add_default_features(facts, base_population(facts, as_of, events)))
     if expected_pace is not None:
         rows = rows.join(expected_pace.select("race_id", "f102"), "race_id", "left")
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("iterative jobs need spark.checkpoint.dir to name a folder all executors share")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a frame that several later branches read, as a table in the shared checkpoint folder.
+
+    The branches then read only their own columns, the plan starts anew, and a lost executor costs a re-read.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a plan that starts from there."""
     ensure_checkpoint_dir(df.sparkSession)
