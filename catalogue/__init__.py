@@ -1,5 +1,5 @@
 """Registered queries: every operator bound to the star-schema tables."""
 
-from . import history
+from . import chances, history, quality
 
-MODULES = (history,)
+MODULES = (history, quality, chances)
