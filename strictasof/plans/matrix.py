@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -94,10 +94,11 @@ def feature_matrix(
     expected_pace: DataFrame | None = None,
     effects: DataFrame | None = None,
     min_session_n: int = speed.MIN_SESSION_N,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per entry that ran: all default features, pace interaction, effect estimate and relative columns.
 
-    ``expected_pace`` holds (race_id, f102); ``effects`` holds (horse_id, as_of, effect).
+    ``keep`` names raw columns to carry along. ``expected_pace`` holds (race_id, f102); ``effects`` holds (horse_id, as_of, effect).
     """
     source = entry_frame(tables)
     facts = with_row_facts(source, min_session_n)
@@ -115,7 +116,7 @@ def feature_matrix(
     columns = feature_columns(rows, source)
     skip = {*EVENT_LEVEL, *CATEGORIES, "f103", "f103_z", "f103_rank"}
     relative = [c for c in columns if c not in skip and not c.endswith("_unavailable")]
-    rows = relativize(rows.select(*X.KEY, "n_starters", *columns), relative, largest=largest)
+    rows = relativize(rows.select(*X.KEY, *keep, "n_starters", *columns), relative, largest=largest)
     return rows.drop("n_starters")
 
 
