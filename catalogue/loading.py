@@ -267,9 +267,9 @@ def _(spark, folder):
 
 
 @R.query("page_links", r"""
-    , all_links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS at FROM pages),
-    firsts AS (SELECT page_id, target, min(at) AS at FROM all_links GROUP BY 1, 2)
-    SELECT page_id, target, CAST(row_number() OVER (PARTITION BY page_id ORDER BY at) - 1 AS BIGINT) AS position FROM firsts""".replace(", all_links", "WITH all_links", 1))
+    WITH all_links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages),
+    firsts AS (SELECT page_id, target, min(pos) AS pos FROM all_links GROUP BY 1, 2)
+    SELECT page_id, target, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS position FROM firsts""")
 def _(spark, folder):
     return pages.links(stored_pages(spark, folder), F.col("html")).select("page_id", "target", F.col("position").cast("long"))
 

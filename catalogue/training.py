@@ -88,15 +88,11 @@ def _(spark, folder):
 
 
 @R.query("pace_target", with_tables(RACES, LAPS_SQL) + f"""
-    , s AS (SELECT *, count(*) OVER (PARTITION BY race_id) AS n FROM laps)
-    SELECT race_id, {rnd('sum(lap_sec) FILTER (WHERE furlong_no > n - 3) / 3.0 - sum(lap_sec) FILTER (WHERE furlong_no <= n - 3) / ((max(distance) - 600) / 200.0)')} AS f102_actual,
+    , s AS (SELECT *, count(*) OVER (PARTITION BY race_id) AS n, row_number() OVER (PARTITION BY race_id ORDER BY furlong_no DESC) AS back FROM laps)
+    SELECT race_id, {rnd('sum(lap_sec) FILTER (WHERE back <= 3) / 3.0 - sum(lap_sec) FILTER (WHERE back > 3) / ((max(distance) - 600) / 200.0)')} AS f102_actual,
            max(n) AS n_laps FROM s JOIN races USING (race_id) WHERE n >= 4 GROUP BY 1""")
 def _(spark, folder):
-    return T.pace_target(dense_laps(spark, folder), star.races(spark, folder)).select("race_id", r6("f102_actual"), "n_laps")
-
-
-def dense_laps(spark, folder):
-    return laps(spark, folder)
+    return T.pace_target(laps(spark, folder), star.races(spark, folder)).select("race_id", r6("f102_actual"), "n_laps")
 
 
 INPUTS_SQL = FULL + QUANTILE_SQL
@@ -118,7 +114,7 @@ def _inputs(spark, folder):
     races = star.races(spark, folder)
     rows = stage_table(X.add_lead_quantile(entries(spark, folder)))
     inputs = T.event_inputs(races, rows).join(races.select("race_id", "date"), "race_id")
-    return stage_table(inputs), stage_table(T.pace_target(dense_laps(spark, folder), races))
+    return stage_table(inputs), stage_table(T.pace_target(laps(spark, folder), races))
 
 
 @R.query("stage1_fit")

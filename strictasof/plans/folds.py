@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.grouped import group_quantiles
+from ..operators.grouped import group_quantiles, top_per_group
 
 DEFAULT_SEED = 20260819
 FOLD_SCHEMA = ("fold_index long, train_start date, train_end date, valid_start date, valid_end date, "
@@ -141,14 +141,12 @@ def apply_categories(df: DataFrame, column: str, codes: DataFrame, other: int |
 
 def pace_target(laps: DataFrame, races: DataFrame) -> DataFrame:
     """Mean of the last three laps minus the mean per 200 m before; events with fewer than four laps have none."""
-    sized = laps.groupBy("race_id").agg(F.count("*").alias("n_laps"))
-    rows = laps.join(sized.where("n_laps >= 4"), "race_id").join(races.select("race_id", "distance"), "race_id")
-    late = F.col("furlong_no") > F.col("n_laps") - 3
     lap = F.col("lap_sec").cast("double")
-    sums = rows.groupBy("race_id", "n_laps", "distance").agg(
-        F.sum(F.when(late, lap)).alias("late"), F.sum(F.when(~late, lap)).alias("early"))
-    early = F.try_divide(F.col("early"), (F.col("distance") - 600.0) / 200.0)
-    return sums.select("race_id", (F.col("late") / 3.0 - early).alias("f102_actual"), "n_laps")
+    whole = laps.groupBy("race_id").agg(F.count("*").alias("n_laps"), F.sum(lap).alias("_all")).where("n_laps >= 4")
+    late = top_per_group(laps, ["race_id"], [F.col("furlong_no").desc()], 3).groupBy("race_id").agg(F.sum(lap).alias("_late"))
+    rows = whole.join(late, "race_id").join(races.select("race_id", "distance"), "race_id")
+    early = F.try_divide(F.col("_all") - F.col("_late"), (F.col("distance") - 600.0) / 200.0)
+    return rows.select("race_id", (F.col("_late") / 3.0 - early).alias("f102_actual"), "n_laps")
 
 
 def event_inputs(races: DataFrame, entries: DataFrame) -> DataFrame:
