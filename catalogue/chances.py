@@ -318,7 +318,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The same profile with every group treated as too large for one buffer."""
     rows = matrix.entry_frame(star.event_tables(spark, folder))
-    out = G.group_quantiles(rows, ["course"], "time_sec", E.PROFILE, count="n", window_rows=0)
+    out = G.group_quantiles(rows, ["course"], "time_sec", E.PROFILE, count="n", buffer_rows=0)
     return out.select("course", "n", *[r6(n, digits=4) for n in E.PROFILE])
 
 

@@ -232,35 +232,44 @@ def with_pace_pair(entries: DataFrame) -> DataFrame:
     return rows.withColumns({"pace_x": pressure, "pace_y": S.margin_lengths(F.col("margin"))}).drop("_others", "_n_others")
 
 
-def add_pace_aptitude(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
-    """Slope of the margin on the rivals' pace pressure, shrunk to the mean slope of all earlier rows.
+def pace_slope() -> KeyedFeature:
+    """Slope of the margin on the rivals' pace pressure over the entity's earlier events, from running moments."""
+    x, y = F.col("pace_x"), F.col("pace_y")
+    both = x.isNotNull() & y.isNotNull()
+    def columns():
+        n, sx = F.col("_pace_n"), F.col("_pace_sx")
+        spread = F.col("_pace_sxx") - sx * sx / n
+        together = F.col("_pace_sxy") - sx * F.col("_pace_sy") / n
+        beta = F.when((n >= 2) & (spread >= MIN_SUM_SQUARES), together / spread)
+        return {"_beta": beta, "_beta_n": n, "f103_unavailable": S.unavailable(beta, F.col("_starts") > 0)}
+    return KeyedFeature({("horse_id",): _past_starts() | {
+        "_pace_n": running_count(both), "_pace_sx": running_sum(F.when(both, x)), "_pace_sy": running_sum(F.when(both, y)),
+        "_pace_sxx": running_sum(F.when(both, x * x)), "_pace_sxy": running_sum(F.when(both, x * y)),
+    }}, columns)
+
 
-    A past event's pair belongs to the (event, entity) row itself, so it is computed once per row
-    (:func:`with_pace_pair`) and the slope comes from running moments.
+def add_shrunken_slope(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    """Shrink the slope to the mean slope of all earlier rows; follows :func:`pace_slope`.
+
+    A slope depends on (entity, date) alone, so the mean weighs each such pair by its rows.
     """
     source = entries if source is None else source
-    x, y = F.col("pace_x"), F.col("pace_y")
-    both = x.isNotNull() & y.isNotNull()
-    moments = {
-        "_m": running_count(both), "_sx": running_sum(F.when(both, x)), "_sy": running_sum(F.when(both, y)),
-        "_sxx": running_sum(F.when(both, x * x)), "_sxy": running_sum(F.when(both, x * y)),
-        "_starts": running_count(),
-    }
-    spread = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("_m")
-    together = F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_m")
-    slope = F.when((F.col("_m") >= 2) & (spread >= MIN_SUM_SQUARES), together / spread)
-    sloped = lambda rows: with_prior(rows, ["horse_id"], "date", moments, source=source).withColumn("_beta", slope)
-    rows, beta = sloped(entries), F.col("_beta")
-    # the prior averages the slopes of all rows; a slope depends on (entity, date) only, so count rows per pair
     pairs = source.groupBy("horse_id", "date").agg(F.count("*").alias("_rows"))
-    slopes = sloped(pairs).where(beta.isNotNull()).select("date", "_rows", "_beta")
-    rows = with_prior(rows, [], "date", {
-        "_bsum": running_sum(F.col("_beta") * F.col("_rows")), "_bn": running_sum(F.col("_rows"))}, facts=slopes)
+    columns = ["horse_id", "date", "pace_x", "pace_y"]
+    slopes = add_features(pairs, [pace_slope()], source=source.select(*columns)).where(F.col("_beta").isNotNull())
+    rows = with_prior(entries, [], "date", {
+        "_bsum": running_sum(F.col("_beta") * F.col("_rows")), "_bn": running_sum(F.col("_rows"))},
+        facts=slopes.select("date", "_rows", "_beta"))
     mu = F.coalesce(F.when(F.col("_bn") > 0, F.col("_bsum") / F.col("_bn")), F.lit(0.0))
-    return rows.withColumns({
-        "f103": F.when(beta.isNotNull(), S.shrink(F.col("_m"), beta, k, mu)),
-        "f103_unavailable": S.unavailable(beta, F.col("_starts") > 0),
-    }).drop("_beta", "_bsum", "_bn", *moments)
+    beta = F.col("_beta")
+    return rows.withColumn("f103", F.when(beta.isNotNull(), S.shrink(F.col("_beta_n"), beta, k, mu))).drop(
+        "_beta", "_beta_n", "_bsum", "_bn")
+
+
+def add_pace_aptitude(entries: DataFrame, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    """Shrunken slope of the margin on the pace pressure; needs the pairs of :func:`with_pace_pair`."""
+    source = entries if source is None else source
+    return add_shrunken_slope(add_features(entries, [pace_slope()], source=source), k, source)
 
 
 def add_pace_interaction(entries: DataFrame, largest: int | None = None) -> DataFrame:
@@ -337,32 +346,37 @@ def add_stable_intent(entries: DataFrame, source: DataFrame | None = None) -> Da
     }).drop("_main")
 
 
-def add_final_section(entries: DataFrame, n_recent: int = 5, k: float = K, source: DataFrame | None = None) -> DataFrame:
-    """Shrunken all-history and recent means of the final-600m time, and the mean in-event rank.
-
-    Needs ``last_3f_rank`` on the source.
-    """
-    source = entries if source is None else source
+def section_means(k: float = K) -> KeyedFeature:
+    """Shrunken mean of all earlier final-600m times and the mean in-event rank; needs ``last_3f_rank``."""
     section = F.col("last_3f").cast("double")
     seen = section.isNotNull()
-    rows = with_condition_mean(entries, [], section, seen, "_mu", fallback=None, source=source)
-    helpers = {
-        "_starts": running_count(), "_n": running_count(seen), "_sum": running_sum(section),
-        "_rank_sum": running_sum(F.when(seen, F.col("last_3f_rank"))),
-    }
-    rows = with_prior(rows, ["horse_id"], "date", helpers, source=source)
-    rows = with_recent(rows, ["horse_id"], "date", TIE, section, n_recent, "_recent", source=source)
-    n_seen = F.coalesce(F.size("_recent"), F.lit(0))
-    gone = (F.col("_starts") > 0) & (F.col("_n") == 0)
-    mean_all, mean_recent = prior_mean("_sum", "_n"), mean_of_array(F.col("_recent"))
-    out = {
-        "last3f_all": F.when(mean_all.isNotNull(), S.shrink(F.col("_n"), mean_all, k, F.col("_mu"))),
-        "last3f_recent": F.when(mean_recent.isNotNull(), S.shrink(n_seen, mean_recent, k, F.col("_mu"))),
-        "last3f_rank_in_race": prior_mean("_rank_sum", "_n"),
-    }
-    rows = rows.withColumns(out)
-    rows = rows.withColumns({f"{c}_unavailable": S.unavailable(F.col(c), gone) for c in out})
-    return rows.drop("_mu", "_recent", *helpers)
+    def columns():
+        gone = (F.col("_starts") > 0) & (F.col("_section_n") == 0)
+        mean, mu = prior_mean("_section_sum", "_section_n"), prior_mean("_all_section_sum", "_all_section_n")
+        rank = prior_mean("_section_rank", "_section_n")
+        out = {"last3f_all": F.when(mean.isNotNull(), S.shrink(F.col("_section_n"), mean, k, mu)), "last3f_rank_in_race": rank}
+        return out | {f"{c}_unavailable": S.unavailable(v, gone) for c, v in out.items()} | {"_section_mu": mu, "_section_gone": gone}
+    return KeyedFeature({
+        ("horse_id",): _past_starts() | {
+            "_section_n": running_count(seen), "_section_sum": running_sum(section),
+            "_section_rank": running_sum(F.when(seen, F.col("last_3f_rank")))},
+        (): {"_all_section_n": running_count(seen), "_all_section_sum": running_sum(section)},
+    }, columns)
+
+
+def add_recent_section(entries: DataFrame, n_recent: int = 5, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    """Shrunken mean of the last earlier final-600m times; follows :func:`section_means`."""
+    rows = with_recent(entries, ["horse_id"], "date", TIE, F.col("last_3f").cast("double"), n_recent, "_recent", source=source)
+    mean, n = mean_of_array(F.col("_recent")), F.coalesce(F.size("_recent"), F.lit(0))
+    rows = rows.withColumn("last3f_recent", F.when(mean.isNotNull(), S.shrink(n, mean, k, F.col("_section_mu"))))
+    missing = S.unavailable(F.col("last3f_recent"), F.col("_section_gone"))
+    return rows.withColumn("last3f_recent_unavailable", missing).drop("_recent", "_section_mu", "_section_gone")
+
+
+def add_final_section(entries: DataFrame, n_recent: int = 5, k: float = K, source: DataFrame | None = None) -> DataFrame:
+    """All, recent and rank summaries of the final-600m time; needs ``last_3f_rank`` on the source."""
+    source = entries if source is None else source
+    return add_recent_section(add_features(entries, [section_means(k)], source=source), n_recent, k, source)
 
 
 def add_recent_speed(entries: DataFrame, n: int = 3, source: DataFrame | None = None) -> DataFrame:

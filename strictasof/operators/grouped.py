@@ -1,8 +1,9 @@
 """Operators inside a group: shares, z-scores, ranks, quantiles and top-k.
 
 Sums and extremes of a group are aggregated first and joined back, so a group may be of any size. Ranks need
-an order: groups up to ``WINDOW_ROWS`` rows are ranked by a window, larger ones by :func:`value_ranks`; which
-of the two is planned follows from the size of the largest group, read by one small aggregate.
+an order: groups up to ``LIST_ROWS`` rows look values up in the group's sorted list, larger ones go through
+:func:`value_ranks`; which of the two is planned follows from the size of the largest group, read by one small
+aggregate.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .prior import longest_history
 from .ranks import value_ranks
 
-WINDOW_ROWS = 1_000_000
+LIST_ROWS = 1_000
+BUFFER_ROWS = 1_000_000
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], aggregates: Mapping[str, Column],
@@ -42,34 +44,41 @@ def leave_one_out(df: DataFrame, group: Sequence[str], own: Sequence[str], value
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank",
-                  window_rows: int = WINDOW_ROWS, largest: int | None = None) -> DataFrame:
-    """Add the average rank (ties share it, null has none) of each column inside its group."""
+                  list_rows: int = LIST_ROWS, largest: int | None = None,
+                  aggregates: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add the average rank (ties share it, null has none) of each column inside its group.
+
+    ``aggregates`` are further whole-group aggregates to add in the same pass.
+    """
     group, values = list(group), list(values)
     if largest is None:
         largest = longest_history(df, group)
-    if largest <= window_rows:
-        return _window_ranks(df, group, values, suffix)
-    sizes = df.groupBy(*group).agg((F.count("*") > window_rows).alias("_large"))
+    if largest <= list_rows:
+        return _listed_ranks(df, group, values, suffix, aggregates or {})
+    sizes = df.groupBy(*group).agg((F.count("*") > list_rows).alias("_large"))
     marked = df.join(sizes, group, "left")
-    small = _window_ranks(marked.where(~F.col("_large")), group, values, suffix)
+    small = _listed_ranks(marked.where(~F.col("_large")), group, values, suffix, aggregates or {})
     large = marked.where("_large")
+    if aggregates:
+        large = with_group_stats(large, group, aggregates)
     for value in values:
-        ranks = value_ranks(large, group, value).select(
+        ranks = value_ranks(marked.where("_large"), group, value).select(
             *group, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(f"{value}{suffix}"))
         large = large.join(ranks, [*group, value], "left")
     return small.unionByName(large).drop("_large")
 
 
-def _window_ranks(df, group, values, suffix):
+def _listed_ranks(df, group, values, suffix, aggregates):
+    """Ranks by position in the group's sorted values: first from the front and first from the back."""
+    lists = {f"_asc_{v}": F.sort_array(F.collect_list(v)) for v in values}
+    rows = with_group_stats(df, group, lists | dict(aggregates))
     ranks = {}
-    for value in values:
-        ordered = Window.partitionBy(*group).orderBy(value)  # nulls first
-        upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        n_upto = F.count(value).over(upto)
-        n_null = F.count("*").over(upto) - n_upto
-        lowest = F.rank().over(ordered) - n_null
-        ranks[f"{value}{suffix}"] = F.when(F.col(value).isNotNull(), (lowest + n_upto) / 2)
-    return df.withColumns(ranks)
+    for v in values:
+        ascending = F.col(f"_asc_{v}")
+        first = F.array_position(ascending, F.col(v))
+        last = F.size(ascending) + 1 - F.array_position(F.reverse(ascending), F.col(v))
+        ranks[f"{v}{suffix}"] = F.when(F.col(v).isNotNull(), (first + last) / 2)
+    return rows.withColumns(ranks).drop(*lists)
 
 
 def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id", size: str = "n_starters",
@@ -80,7 +89,7 @@ def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id
     for v in values:
         stats[f"_mean_{v}"] = F.avg(v)
         stats[f"_sd_{v}"] = F.stddev_samp(v)
-    rows = average_ranks(with_group_stats(df, [group], stats), [group], values, largest=largest)
+    rows = average_ranks(df, [group], values, largest=largest, aggregates=stats)
     out = {}
     for v in values:
         sd = F.col(f"_sd_{v}")
@@ -90,7 +99,7 @@ def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id
 
 
 def group_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float],
-                    count: str | None = None, window_rows: int = WINDOW_ROWS,
+                    count: str | None = None, buffer_rows: int = BUFFER_ROWS,
                     largest: int | None = None) -> DataFrame:
     """Interpolated quantiles per group (and, as ``count``, the number of values).
 
@@ -99,7 +108,7 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles:
     group = list(group)
     if largest is None:
         largest = longest_history(df.where(F.col(value).isNotNull()), group)
-    if largest <= window_rows:
+    if largest <= buffer_rows:
         columns = [F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()]
         return df.groupBy(*group).agg(*columns, *([F.count(value).alias(count)] if count else []))
     ranks = value_ranks(df, group, value)

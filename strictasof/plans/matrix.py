@@ -66,12 +66,11 @@ def with_row_facts(entries: DataFrame, min_session_n: int = speed.MIN_SESSION_N)
 def add_default_features(facts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """The default feature set for ``rows`` (default: all), computed from the full fact frame."""
     rows = facts if rows is None else rows
-    rows = X.add_pace_aptitude(rows, source=facts)
     rows = X.add_features(rows, [
-        X.previous_result(), X.recency(), X.partner_change(), X.condition_change(), X.career_rates(),
-        X.speed_history(), X.opponent_strength(),
+        X.pace_slope(), X.previous_result(), X.recency(), X.partner_change(), X.condition_change(), X.career_rates(),
+        X.speed_history(), X.opponent_strength(), X.section_means(),
     ], source=facts)
-    for add in (X.add_final_section, X.add_recent_speed, X.add_blood_encoding, X.add_partner_rating,
+    for add in (X.add_shrunken_slope, X.add_recent_section, X.add_recent_speed, X.add_blood_encoding, X.add_partner_rating,
                 X.add_stable_intent, X.add_partner_course_encoding, X.add_frame_bias, X.add_course_aptitude,
                 speed.add_session_bias):
         rows = add(rows, source=facts)
