@@ -287,6 +287,26 @@ def _(spark, folder):
     return E.blend_grid(blended(spark, folder), "p", "q", WEIGHTS).select("w", r6("log_loss"))
 
 
+@R.query("blend_weight_ci")
+def _(spark, folder):
+    losses = E.blend_losses(blended(spark, folder), "p", "q", WEIGHTS)
+    return bootstrap.blend_weight_interval(losses, WEIGHTS, 200)
+
+
+@R.query("completion_check", MODEL + MARKET + SOFT + f"""
+    , yt AS (SELECT *, CASE WHEN label = 3 THEN 1.0 / count(*) FILTER (WHERE label = 3) OVER (PARTITION BY race_id) ELSE 0.0 END AS y FROM soft),
+    md AS (SELECT race_id, -sum(CASE WHEN y > 0 THEN y * ln(greatest(p, 1e-15)) ELSE 0 END) AS ml FROM yt GROUP BY 1),
+    mk AS (SELECT race_id, -sum(CASE WHEN y > 0 THEN y * ln(p) ELSE 0 END) AS ll FROM market GROUP BY 1),
+    pops AS (SELECT race_id, 'all' AS population FROM races UNION ALL SELECT race_id, 'g1' FROM races WHERE grade = 'G1')
+    SELECT population, count(*) AS n_races, {rnd('avg(ml)')} AS model_log_loss, {rnd('avg(ll)')} AS market_log_loss, avg(ml) < avg(ll) AS passes
+    FROM md JOIN mk USING (race_id) JOIN pops USING (race_id) GROUP BY 1""")
+def _(spark, folder):
+    rows = ranker.labelled_truth(G.softmax(scored(spark, folder), "race_id", "score", "y_pred"))
+    flagged = rows.join(star.races(spark, folder).where("grade = 'G1'"), "race_id", "left_semi")
+    out = E.completion_check(rows, flagged, runners(spark, folder))
+    return out.select("population", "n_races", r6("model_log_loss"), r6("market_log_loss"), "passes")
+
+
 @R.query("ablation", MODEL + SCORED + f"""
     , s2 AS (SELECT *, CASE WHEN score > 5 THEN 0.0 ELSE score END AS other FROM scored),
     s AS (SELECT *, exp(score) / sum(exp(score)) OVER w AS p, exp(other) / sum(exp(other)) OVER w AS q,

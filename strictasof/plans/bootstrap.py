@@ -1,84 +1,121 @@
 """Bootstrap percentile intervals without resampling rows.
 
-A resample of n units only matters through how often each distinct unit value was drawn. The ledger is first
+A resample of n units only matters through how often each distinct unit value was drawn. The units are first
 reduced to distinct values with their counts (cells); a resample is then one multinomial draw over cells. Cells
-are spread over blocks: the draws per block follow a multinomial over block sizes, and inside a block a multinomial
-over its cells, which together are exactly n draws with replacement. Only the block sizes and the B totals travel.
+are spread over at most ``MAX_BLOCKS`` blocks: the draws per block follow a multinomial over block sizes, and
+inside a block a multinomial over its cells, which together are exactly n draws with replacement. Every block
+repeats the same draw of block totals from the same seed, so nothing but the block sizes is shared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 BLOCK_CELLS = 4_096
-_REPS_AT_ONCE = 256
+MAX_BLOCKS = 4_096
+_MATRIX_CELLS = 2_000_000
 
 
-def bootstrap_ratio(units: DataFrame, numerator: Column, denominator: Column, n_boot: int = 10_000,
-                    seed: int = 20260819, by: Sequence[str] = (), block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """(rep, ratio) per ``by`` slice: ratio of resampled sums, 0 where the resampled denominator is 0."""
-    by = list(by)
-    cells = units.groupBy(*by, numerator.cast("double").alias("_num"), denominator.cast("double").alias("_den")).agg(
-        F.count("*").alias("_n"))
+def value_cells(units: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct unit values per slice and how many units have them (``_n``), stored: every later step reads them."""
+    columns = [c.cast("double").alias(n) for n, c in values.items()]
+    return stage_table(units.groupBy(*by, *columns).agg(F.count("*").alias("_n")))
+
+
+def bootstrap_sums(cells: DataFrame, names: Sequence[str], n_boot: int = 10_000, seed: int = 20260819,
+                   by: Sequence[str] = (), block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(rep, resampled sum of each value) per ``by`` slice. Slices are few: a report's populations, types, grades."""
+    by, names = list(by), list(names)
     n_cells = cells.groupBy(*by).agg(F.count("*").alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
-    n_blocks = max(1, -(-n_cells // block_cells))
-    block = F.pmod(F.xxhash64("_num", "_den"), F.lit(n_blocks)).cast("int")
-    cells = cells.withColumn("_block", block)
-    sizes = cells.groupBy(*by, "_block").agg(F.sum("_n").alias("_size"))
-    layout = sizes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "_size"))).alias("_layout"))
-    placed = cells.join(layout, by) if by else cells.withColumn("_layout", layout.scalar())
-    placed = placed.withColumns({"_blocks": F.transform("_layout", lambda s: s["_block"]),
-                                 "_sizes": F.transform("_layout", lambda s: s["_size"])}).drop("_layout")
+    n_blocks = min(MAX_BLOCKS, max(1, -(-n_cells // block_cells)))
+    cells = cells.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(n_blocks)).cast("int"))
+    layout: dict[tuple, dict[int, int]] = {}
+    for row in cells.groupBy(*by, "_block").agg(F.sum("_n").alias("_size")).collect():  # one row per block
+        layout.setdefault(tuple(row[b] for b in by), {})[row["_block"]] = row["_size"]
+    plain = lambda v: None if v is None or v is pd.NA or v != v else v.item() if hasattr(v, "item") else v
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_num", "_den"])
+        pdf = pdf.sort_values(names)
         first = pdf.iloc[0]
-        sizes = np.asarray(first["_sizes"], dtype=np.int64)
-        here = list(first["_blocks"]).index(first["_block"])
+        blocks = layout[tuple(plain(first[b]) for b in by)]
+        order = sorted(blocks)
+        sizes = np.array([blocks[b] for b in order], dtype=np.int64)
+        here = order.index(int(first["_block"]))
         share = pdf["_n"].to_numpy(dtype=float)
         share /= share.sum()
-        across = np.random.default_rng([seed, 0])  # the same stream in every block: one draw of block totals per rep
+        across = np.random.default_rng([seed, 0])
         inside = np.random.default_rng([seed, 1, int(first["_block"])])
-        values = pdf[["_num", "_den"]].to_numpy(dtype=float)
+        table = pdf[names].to_numpy(dtype=float)
+        at_once = max(1, _MATRIX_CELLS // max(len(pdf), len(order)))
         sums = []
-        for start in range(0, n_boot, _REPS_AT_ONCE):
-            reps = min(_REPS_AT_ONCE, n_boot - start)
-            totals = across.multinomial(sizes.sum(), sizes / sizes.sum(), size=reps)[:, here]
-            sums.append(inside.multinomial(totals, share) @ values)
-        out = pd.DataFrame(np.vstack(sums), columns=["num", "den"])
+        for start in range(0, n_boot, at_once):
+            totals = across.multinomial(sizes.sum(), sizes / sizes.sum(), size=min(at_once, n_boot - start))[:, here]
+            sums.append(inside.multinomial(totals, share) @ table)
+        out = pd.DataFrame(np.vstack(sums), columns=names)
         out.insert(0, "rep", np.arange(n_boot, dtype=np.int64))
         for i, name in enumerate(by):
             out.insert(i, name, first[name])
         return out
 
-    kinds = dict(units.select(*by).dtypes) if by else {}
-    schema = ", ".join([f"`{name}` {kinds[name]}" for name in by] + ["rep long", "num double", "den double"])
-    sums = placed.groupBy(*by, "_block").applyInPandas(draw, schema).groupBy(*by, "rep").agg(
-        F.sum("num").alias("num"), F.sum("den").alias("den"))
+    kinds = dict(cells.select(*by).dtypes) if by else {}
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["rep long"] + [f"`{n}` double" for n in names])
+    return cells.groupBy(*by, "_block").applyInPandas(draw, schema).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def bootstrap_ratio(units: DataFrame, numerator: Column, denominator: Column, n_boot: int = 10_000,
+                    seed: int = 20260819, by: Sequence[str] = (), block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(rep, ratio) per slice: ratio of resampled sums, 0 where the resampled denominator is 0."""
+    return _ratios(value_cells(units, {"num": numerator, "den": denominator}, by), n_boot, seed, by, block_cells)
+
+
+def _ratios(cells, n_boot, seed, by, block_cells=BLOCK_CELLS):
+    sums = bootstrap_sums(cells, ["num", "den"], n_boot, seed, by, block_cells)
     ratio = F.when(F.col("den") != 0, F.col("num") / F.col("den")).otherwise(F.lit(0.0))
     return sums.select(*by, "rep", ratio.alias("ratio"))
 
 
+def percentile_ends(reps: DataFrame, value: str, n_boot: int, by: Sequence[str] = (),
+                    ends: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """The two order statistics of the resampled values (``n_boot`` rows per slice)."""
+    low, high = int(ends[0] * n_boot), min(int(ends[1] * n_boot), n_boot - 1)
+    ordered = reps.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(value, "rep")) - 1)
+    return ordered.groupBy(*by).agg(F.max(F.when(F.col("_rn") == low, F.col(value))).alias("ci_low"),
+                                    F.max(F.when(F.col("_rn") == high, F.col(value))).alias("ci_high"))
+
+
 def bootstrap_interval(units: DataFrame, numerator: Column, denominator: Column, n_boot: int = 10_000,
                        seed: int = 20260819, by: Sequence[str] = (),
                        ends: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """Point ratio and percentile interval per slice, from the order statistics of the resampled ratios.
+    """Point ratio and percentile interval per slice.
 
     One unit gives its own ratio as both ends; without units there is no row.
     """
     by = list(by)
-    low, high = int(ends[0] * n_boot), min(int(ends[1] * n_boot), n_boot - 1)
-    point = units.groupBy(*by).agg(
-        F.count("*").alias("n"), F.try_divide(F.sum(numerator.cast("double")), F.sum(denominator.cast("double"))).alias("ratio"))
-    reps = bootstrap_ratio(units, numerator, denominator, n_boot, seed, by)
-    ordered = reps.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("ratio", "rep")) - 1)
-    bounds = ordered.groupBy(*by).agg(F.max(F.when(F.col("_rn") == low, F.col("ratio"))).alias("ci_low"),
-                                    F.max(F.when(F.col("_rn") == high, F.col("ratio"))).alias("ci_high"))
+    cells = value_cells(units, {"num": numerator, "den": denominator}, by)
+    total = lambda c: F.sum(F.col(c) * F.col("_n"))
+    point = cells.groupBy(*by).agg(F.sum("_n").alias("n"), F.try_divide(total("num"), total("den")).alias("ratio"))
+    bounds = percentile_ends(_ratios(cells, n_boot, seed, by), "ratio", n_boot, by, ends)
     if by:
         return point.join(bounds, by)
     return point.withColumns({"ci_low": bounds.select("ci_low").scalar(), "ci_high": bounds.select("ci_high").scalar()})
+
+
+def blend_weight_interval(losses: DataFrame, weights: Sequence[float], n_boot: int = 1_000, seed: int = 20260819) -> DataFrame:
+    """Best blend weight on all events and the percentile interval of the best weight over resampled events.
+
+    ``losses`` holds one row per event with columns l0, l1, ... in the order of ``weights``.
+    """
+    names = [f"l{i}" for i in range(len(weights))]
+    best = F.array_min(F.array(*[F.struct(F.col(n).alias("loss"), F.lit(float(w)).alias("w")) for n, w in zip(names, weights)]))["w"]
+    cells = value_cells(losses, {n: F.col(n) for n in names})
+    reps = bootstrap_sums(cells, names, n_boot, seed).select("rep", best.alias("w"))
+    point = cells.agg(*[F.sum(F.col(n) * F.col("_n")).alias(n) for n in names]).select(best.alias("w"))
+    bounds = percentile_ends(reps, "w", n_boot)
+    return point.withColumns({"ci_low": bounds.select("ci_low").scalar(), "ci_high": bounds.select("ci_high").scalar()})

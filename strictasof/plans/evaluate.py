@@ -160,8 +160,20 @@ def compare_with_market(model: DataFrame, market: DataFrame, by: Sequence[str] =
     })
 
 
-def blend_grid(rows: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFrame:
-    """Mean group log-loss of ``p proportional to a^(1-w) * b^w`` for each weight, all weights in one pass.
+def completion_check(raw: DataFrame, calibrated: DataFrame, entries: DataFrame) -> DataFrame:
+    """Model against market, once on all validated events (raw) and once on the flagged ones (calibrated).
+
+    Both frames hold race_id, y_true and y_pred; the market is scored on the very same events. ``passes`` of a
+    population without events is null: undecided, not failed.
+    """
+    market = market_scores(entries)
+    parts = [compare_with_market(group_log_loss(rows), market).withColumn("population", F.lit(name))
+             for name, rows in (("all", raw), ("g1", calibrated))]
+    return parts[0].unionByName(parts[1])
+
+
+def blend_losses(rows: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFrame:
+    """Group log-loss of ``p proportional to a^(1-w) * b^w`` per event, one column per weight, in one pass.
 
     ``rows`` holds race_id, the two probabilities and the tie-split label ``y``.
     """
@@ -170,10 +182,15 @@ def blend_grid(rows: DataFrame, a: str, b: str, weights: Sequence[float]) -> Dat
     sums = [F.sum(F.exp(mixed(w))).alias(f"_z{i}") for i, w in enumerate(weights)]
     dots = [F.sum(F.col("y") * mixed(w)).alias(f"_d{i}") for i, w in enumerate(weights)]
     groups = rows.groupBy("race_id").agg(F.sum("y").alias("_y"), *sums, *dots)
-    loss = [F.avg(F.col("_y") * F.log(f"_z{i}") - F.col(f"_d{i}")).alias(f"_l{i}") for i in range(len(weights))]
-    points = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("w"), F.col(f"_l{i}").alias("log_loss"))
+    return groups.select("race_id", *[(F.col("_y") * F.log(f"_z{i}") - F.col(f"_d{i}")).alias(f"l{i}") for i in range(len(weights))])
+
+
+def blend_grid(rows: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFrame:
+    """Mean group log-loss of the blend for each weight."""
+    means = blend_losses(rows, a, b, weights).agg(*[F.avg(f"l{i}").alias(f"l{i}") for i in range(len(weights))])
+    points = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("w"), F.col(f"l{i}").alias("log_loss"))
                                  for i, w in enumerate(weights)]))
-    return groups.agg(*loss).select(points.alias("p")).select("p.*")
+    return means.select(points.alias("p")).select("p.*")
 
 
 def ablation(scores: DataFrame, y: str = "y") -> DataFrame:

@@ -60,8 +60,10 @@ class Rankers:
         rows = [(m, f, float(w)) for m, ws in self.weights.items() for f, w in zip(self.features, ws)]
         return spark.createDataFrame(rows, "model string, feature string, weight double")
 
-    def score(self, model: str) -> Column:
-        return _dot(self.features, self.weights[model])
+    def score(self, model: str, without: Sequence[str] = ()) -> Column:
+        """Linear score; features named in ``without`` count as missing."""
+        kept = [(f, w) for f, w in zip(self.features, self.weights[model]) if f not in without]
+        return _dot([f for f, _ in kept], [w for _, w in kept]) if kept else F.lit(0.0)
 
     def require_columns(self, columns: Sequence[str]) -> None:
         if tuple(columns) != self.features:
