@@ -10,6 +10,7 @@ from strictasof.operators import features as X
 from strictasof.operators import grouped as G
 from strictasof.operators import prior as P
 from strictasof.operators import speed
+from strictasof.operators.ranks import value_ranks
 from strictasof.functions import scalars as S
 from strictasof.plans import matrix
 from strictasof.session import stage_table
@@ -468,8 +469,7 @@ def _(spark, folder):
            CAST(COALESCE(sum(n) OVER (PARTITION BY event_type ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_below,
            CAST(sum(n) OVER (PARTITION BY event_type) AS BIGINT) AS n_group FROM c""")
 def _(spark, folder):
-    from strictasof.operators.ranks import value_ranks
-    return value_ranks(star.table(spark, folder, "events"), ["event_type"], "value", bucket_values=256)
+    return value_ranks(star.table(spark, folder, "events"), ["event_type"], "value")
 
 
 @R.query("missing_indicator", FULL + f"""

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grouped import top_per_group
-from .prior import latest, with_prior
-from .ranks import value_ranks
+from .prior import latest, running_count, with_prior
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 
@@ -51,13 +50,12 @@ def events_without_entries(tables: Tables) -> DataFrame:
 
 
 def rank_differs(tables: Tables) -> DataFrame:
-    """Stored finish position against the competition rank (ties share, then skip)."""
+    """Stored finish position against the competition rank: one more than the entries placed strictly before."""
     placed = tables["runners"].where(F.col("finish_pos").isNotNull())
-    # positions of one event are few distinct values: count them, then rank the counts
-    ranks = value_ranks(placed, ["race_id"], "finish_pos").select(
-        "race_id", "finish_pos", (F.col("n_below") + 1).alias("expected"))
-    rows = placed.join(ranks, ["race_id", "finish_pos"]).where(F.col("finish_pos") != F.col("expected"))
-    return _violations(rows, _text("finish_pos=", F.col("finish_pos"), " expected=", F.col("expected")))
+    rows = with_prior(placed, ["race_id"], "finish_pos", {"_ahead": running_count()})
+    expected = F.col("_ahead") + 1
+    return _violations(rows.where(F.col("finish_pos") != expected),
+                       _text("finish_pos=", F.col("finish_pos"), " expected=", expected))
 
 
 def status_incoherent(tables: Tables) -> DataFrame:

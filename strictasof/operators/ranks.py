@@ -1,4 +1,4 @@
-"""Ranks of values inside a group, computed without bringing a group into one task."""
+"""Ranks of values, inside groups or overall, computed without bringing a group into one task."""
 
 from __future__ import annotations
 
@@ -7,41 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: distinct values one bucket of a group aims at
-BUCKET_VALUES = 100_000
+from ..session import stage_table
 
+_BEFORE = (Window.unboundedPreceding, -1)
 
-def value_ranks(df: DataFrame, group: Sequence[str], value: str, bucket_values: int = BUCKET_VALUES) -> DataFrame:
+
+def _ranged(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
+    """Store ``df`` cut into sorted ranges of about equal size, each row with its range's number.
+
+    Spark samples the rows to balance the ranges, so a group of any size is spread out whatever its values look
+    like. The numbers are stored with the rows: later steps and reruns all see the same cut.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage_table(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n_equal`` rows hold it, ``n_below`` hold less, ``n_group`` hold any.
 
-    Equal values are counted first. A group with many distinct values is cut into value ranges, as many as
-    its size asks for; each range is ranked on its own and shifted by the rows in the ranges below it.
+    Equal values are counted first. The distinct values are cut into sorted ranges; each range is ranked on its own
+    and shifted by the rows of its group in the ranges before it.
     """
     group = list(group)
     cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_equal"))
-    spans = cells.groupBy(*group).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n_equal").alias("n_group"),
-        F.ceil(F.count("*") / F.lit(bucket_values)).alias("_buckets"))
-    position = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucket = F.coalesce(F.floor(position * F.col("_buckets")), F.lit(0))
-    ranged = cells.join(_null_safe(spans, group, "_s"), _same(group, "_s"), "inner").select(
-        *[F.col(g) for g in group], value, "n_equal", "n_group", bucket.alias("_bucket"))
-    below = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*group, "_bucket").agg(F.sum("n_equal").alias("_rows"))
-    offsets = offsets.select(*group, "_bucket", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranged(cells, [*group, value], ranges)
+    whole = Window.partitionBy(*group)
+    sizes = ranged.groupBy(*group, "_range").agg(F.sum("n_equal").alias("_rows"))
+    offsets = sizes.select(
+        *group, "_range", F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(whole).alias("n_group"))
+    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(*_BEFORE)
     local = ranged.withColumn("_local", F.coalesce(F.sum("n_equal").over(inside), F.lit(0)))
-    keys = [*group, "_bucket"]
-    return local.join(_null_safe(offsets, keys, "_o"), _same(keys, "_o"), "inner").select(
+    keys = [*group, "_range"]
+    named = offsets.withColumnsRenamed({k: f"{k}_o" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_o"))
+    return local.join(named, same).select(
         *[F.col(g) for g in group], value, "n_equal", (F.col("_offset") + F.col("_local")).alias("n_below"), "n_group")
 
 
-def _null_safe(df, keys, suffix):
-    return df.withColumnsRenamed({k: f"{k}{suffix}" for k in keys})
-
-
-def _same(keys, suffix):
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"{k}{suffix}"))
-    return condition
+def sorted_positions(values: DataFrame, value: str, out: str = "code", ranges: int | None = None) -> DataFrame:
+    """0-based position of each distinct value in sorted order."""
+    ranged = _ranged(values.select(value).distinct(), [value], ranges)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))  # one row per range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
+    return ranged.withColumn("_rank", rank).join(offsets, "_range").select(value, (F.col("_offset") + F.col("_rank")).cast("long").alias(out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strictasof.operators import prior as P
 from strictasof.operators.grouped import average_ranks, group_quantiles, leave_one_out, relativize
-from strictasof.operators.ranks import value_ranks
+from strictasof.operators.ranks import sorted_positions, value_ranks
 
 
 @pytest.fixture(scope="module")
@@ -105,16 +105,22 @@ def test_asof_attach_takes_the_newest_strictly_earlier_version(spark):
     assert out == {(1, 5): (0.3, 0), (1, 3): (0.1, 0), (2, 5): (None, 1)}
 
 
-@pytest.mark.parametrize("bucket_values", [1_000, 7, 1])
-def test_value_ranks_do_not_depend_on_the_buckets(facts, bucket_values):
+@pytest.mark.parametrize("ranges", [1, 3, 30])
+def test_value_ranks_do_not_depend_on_the_ranges(facts, ranges):
     pdf, df = facts
-    out = {(r["k"], r["v"]): (r["n_equal"], r["n_below"], r["n_group"]) for r in value_ranks(df, ["k"], "v", bucket_values).collect()}
+    out = {(r["k"], r["v"]): (r["n_equal"], r["n_below"], r["n_group"]) for r in value_ranks(df, ["k"], "v", ranges).collect()}
     assert len(out) == len(pdf.dropna(subset=["v"]).groupby(["k", "v"], dropna=False))
     for (k, v), got in out.items():
         group = pdf[pdf.k.isna()] if k is None else pdf[pdf.k == k]
         assert got == ((group.v == v).sum(), (group.v < v).sum(), group.v.notna().sum())
 
 
+def test_sorted_positions_of_texts(spark):
+    words = [f"Customer#{i:05d}" for i in range(300)]
+    got = {r["w"]: r["code"] for r in sorted_positions(spark.createDataFrame([(w,) for w in words * 2], "w string"), "w", ranges=7).collect()}
+    assert got == {w: i for i, w in enumerate(words)}
+
+
 @pytest.mark.parametrize("list_rows", [10_000, 200, 0])
 def test_average_ranks_on_every_path(facts, list_rows):
     pdf, df = facts
