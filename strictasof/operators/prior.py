@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .ranks import value_ranks
 from ..functions.scalars import all_of
+from ..session import stage_table
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -212,8 +213,9 @@ def _frame_quantile(probes, facts, keys, order, q):
 
 
 def _descended_quantile(probes, facts, keys, order, q, largest):
-    ranks = value_ranks(facts, keys, "_value").select(*keys, "_value", F.col("n_below").alias("_code"))
-    coded = facts.join(ranks, [*keys, "_value"])
+    # each level reads the coded facts and its own targets more than once, so both are stored
+    ranks = stage_table(value_ranks(facts, keys, "_value").select(*keys, "_value", F.col("n_below").alias("_code")))
+    coded = stage_table(facts.join(ranks, [*keys, "_value"]).select(*keys, order, "_code"))
     levels = max(1, -(-max(1, (largest - 1).bit_length()) // _RADIX_BITS))
     rank = F.lit(q) * (F.col("_n") - 1)
     sought = with_prior(probes, keys, order, {"_n": running_count()}, facts=coded).where(F.col("_n") > 0)
@@ -225,6 +227,7 @@ def _descended_quantile(probes, facts, keys, order, q, largest):
         )).alias("_end"),
         F.lit(0).cast("long").alias("_node"),
     ).select(*keys, order, "_fraction", "_node", F.col("_end.side").alias("_side"), F.col("_end.k").alias("_k"))
+    sought = stage_table(sought)
     digits = range(1 << _RADIX_BITS)
     for level in reversed(range(levels)):
         shift = level * _RADIX_BITS
@@ -238,9 +241,9 @@ def _descended_quantile(probes, facts, keys, order, q, largest):
         passed = F.array(*[t <= F.col("_k") for t in totals])
         chosen = F.size(F.filter(passed, lambda p: p))
         before = F.when(chosen > 0, F.element_at(F.array(*totals), F.greatest(chosen, F.lit(1)))).otherwise(F.lit(0))
-        sought = sought.select(
+        sought = stage_table(sought.select(
             *keys, order, "_fraction", "_side", (F.col("_k") - before).alias("_k"),
-            (F.shiftleft("_node", _RADIX_BITS) + chosen).cast("long").alias("_node"))
+            (F.shiftleft("_node", _RADIX_BITS) + chosen).cast("long").alias("_node")))
     values = sought.withColumnRenamed("_node", "_code").join(ranks, [*keys, "_code"])
     low = F.max(F.when(F.col("_side") == "lo", F.col("_value")))
     high = F.max(F.when(F.col("_side") == "hi", F.col("_value")))
