@@ -15,7 +15,7 @@ from strictasof.functions import scalars as S
 from strictasof.plans import matrix
 from strictasof.session import stage_table
 
-from .oracle import ENTRIES, FULL, IDS, rnd
+from .oracle import FULL, IDS, rnd
 from .registry import Registry, r6
 
 R = Registry()

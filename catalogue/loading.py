@@ -16,9 +16,9 @@ from strictasof.sources import ingest, pages
 from strictasof.sources.decode import decode_body
 
 from .chances import SEALED, TODAY
-from .oracle import EVENTS, FULL, IDS, MODEL, with_tables, rnd
+from .oracle import EVENTS, FULL, IDS, MODEL, with_tables
 from .quality import OPS, fetch_log, rejected_rows
-from .registry import Registry, r6
+from .registry import Registry
 
 R = Registry()
 ID = ["race_id", "horse_id", "owner_id", "number"]

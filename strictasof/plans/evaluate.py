@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
-from ..operators.grouped import softmax, top_per_group, with_group_stats
+from ..operators.grouped import softmax, top_per_group
 from .probability import EPS, market_probability, target_population, tie_split_label
 
 FAVOURITE, UNIFORM = "favorite", "uniform"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grouped import softmax, top_per_group, with_group_stats
 from ..operators.keys import require_disjoint
-from .probability import EPS, tie_split_label
+from .probability import tie_split_label
 
 MIN_HESSIAN = 1e-6
 WINNER_LABEL = 3
