@@ -1,6 +1,8 @@
 """Operators for training-data pipelines. Importing the package registers their queries."""
 
-from . import decontaminate, histogram_sort, url_filter
+from . import (decontaminate, histogram_sort, lm_scoring, near_dedup, packing, quality_rules, substring_dedup,
+               suffix_dedup, url_filter, warc)
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "histogram_sort", "url_filter"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "histogram_sort", "lm_scoring", "near_dedup", "packing", "quality_rules",
+           "substring_dedup", "suffix_dedup", "url_filter", "warc"]

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,13 +54,23 @@ def numbered(docs: DataFrame, *columns: Column | str, name: str = "rows") -> Dat
     return stage(docs.select(*columns).withColumn("row_id", F.monotonically_increasing_id()), name)
 
 
+def bundle(docs: DataFrame, columns: list[str], name: str = "_rest") -> Column:
+    """``columns`` of ``docs`` as one struct, so that no name of theirs can clash on the way; see :func:`unbundle`."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("byte").alias("_end")).alias(name)
+
+
+def unbundle(columns: list[str], name: str = "_rest") -> list[Column]:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fields(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(schema)
+def widened(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with the fields of ``ddl`` after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
 # ---- numpy ----------------------------------------------------------------------------------------------------------
@@ -102,6 +113,15 @@ class Rolling:
             return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+    def spans_of(self, units: np.ndarray, size: int) -> np.ndarray:
+        """The hashes of :meth:`spans` for every window of ``size`` units."""
+        self._grow(len(units) + 1)
+        sums = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum(units * self.powers[:len(units)], out=sums[1:])
+        h = (sums[size:] - sums[:-size]) * self.inverse[:len(units) - size + 1]
+        return mix(h + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string or binary array and the offsets of its values; null counts as empty."""
     if texts.null_count:
@@ -124,6 +144,3 @@ def parts_by_size(batch: pa.RecordBatch, column: str, most: int):
         total += n
     if first < batch.num_rows:
         yield batch.slice(first)
-
-
-import pyarrow.compute  # noqa: E402,F401

@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered
+from .common import bundle, numbered, unbundle
 from .registry import query
 
 #: candidate boundaries probed inside each splitter's interval in one round
@@ -126,7 +126,7 @@ def histogram_shards(rows: DataFrame, order: list[Column], size: Column, shards:
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     names = [f"_k{i}" for i in range(len(order))]
     columns = [*names, "row_id"]
-    staged = numbered(rows, *[F.col(c) for c in kept], size.cast("long").alias("_size"),
+    staged = numbered(rows, bundle(rows, kept), size.cast("long").alias("_size"),
                       *[F.coalesce(k.cast("long"), F.lit(LOW)).alias(n) for k, n in zip(order, names)], name="histogram")
     keys = staged.select(*columns, "_size")
     total = keys.agg(F.sum("_size").alias("b")).first().b or 0
@@ -148,7 +148,7 @@ def histogram_shards(rows: DataFrame, order: list[Column], size: Column, shards:
     first = F.element_at(F.lit(before), (F.col("_piece") + 1).cast("int"))
     return placed.withColumns({
         "shard": F.floor(F.col("_piece") / per_shard).cast("int"), "slot": (inside + first).cast("long"),
-    }).select(*kept, "shard", "slot")
+    }).select(*unbundle(kept), "shard", "slot")
 
 
 @query("op6_histogram_sort")
