@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, numbered, release, stage, unbundle
+from .common import bundle, numbered, release, stage, unbundle, widened
 from .registry import query
 
 WORDS, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -58,7 +58,7 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
     """The other columns of ``docs`` with ``fp``, the fingerprint as a signed long. Null counts as empty."""
     kept = [c for c in docs.columns if c not in (text, "fp")]
-    schema = docs.select(*kept).schema.add("fp", "long")
+    schema = widened(docs.select(*kept), "fp long")
 
     def work(batches):
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, widened
 from .registry import query
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -106,11 +106,8 @@ def pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPAC
     """
     added = ["piece", "start", "length", "ids_crc32", "ids", "_block", "_rank"]
     kept = [c for c in docs.columns if c != text and c not in added]
-    schema = docs.select(*kept).schema
-    for name, kind in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("_block", "int"), ("_rank", "long")):
-        schema = schema.add(name, kind)
-    if ids:
-        schema = schema.add("ids", "binary")
+    ddl = "piece int, start long, length long, ids_crc32 long, _block int, _rank long" + ", ids binary" * ids
+    schema = widened(docs.select(*kept), ddl)
     end = np.array([separator], "<u4").tobytes()
 
     def cut(batches):
@@ -247,7 +244,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = per_task.select("length", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     ranked = cut.join(before, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_block")
     kept = [c for c in cut.columns if c not in ("_block", "_rank", "sequence_id", "offset")]
-    schema = cut.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
+    schema = widened(cut.select(*kept), "sequence_id long, offset long")
     wide = 1 << 40
 
     def put(batches):

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, widened
 from .registry import query
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: rules in the order of their scores; all scores run from 0 to 1
-RULES = ("symbols", "dup_lines", "repeats", "toxic")
+RULES = ("symbols", "dup_lines", "repeats", "toxicity")
 #: cutoffs tried per rule: 1/STEPS .. 1
 STEPS = 64
 #: labelled rows the toxic words are learned from, and how many words are kept
@@ -100,11 +100,7 @@ def scores(docs: DataFrame, weights: dict[str, float], text: str = "text", keep_
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = [c for c in docs.columns if (c != text or keep_text) and c not in (*counts, *RULES)]
-    schema = docs.select(*kept).schema
-    for name in counts:
-        schema = schema.add(name, "long")
-    for name in RULES:
-        schema = schema.add(name, "double")
+    schema = widened(docs.select(*kept), ", ".join([f"{c} long" for c in counts] + [f"{c} double" for c in RULES]))
 
     def score(batches):
         for batch in batches:
@@ -170,7 +166,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, limit: float = LIMIT, error: f
     size = size.select("_stratum", "_into")
     merged = seen.join(size, "_stratum").drop("_stratum")
     long = merged.select("_into", F.explode(F.array(*[F.struct(
-        F.lit(i).alias("rule"), F.col(r).alias("step"), "good", (F.col("toxic") if r == "toxic" else F.col("poor")).alias("bad"))
+        F.lit(i).alias("rule"), F.col(r).alias("step"), "good", (F.col("toxic") if r == "toxicity" else F.col("poor")).alias("bad"))
         for i, r in enumerate(RULES)])).alias("x")).groupBy("_into", "x.rule", "x.step").agg(
         F.sum("x.good").alias("good"), F.sum("x.bad").alias("bad"))
     tests = len(RULES) * max(1, size.agg(F.count_distinct("_into").alias("n")).first().n)

@@ -120,7 +120,7 @@ def with_listed(rows: DataFrame, universe: DataFrame, key: str, into: str = "lis
         keys = universe.where("key is not null")
         levels = build_cascade(keys if passes == 1 else keys.where(part(F.col("key")) == p))
         mine = rows if passes == 1 else rows.where(F.coalesce(part(F.col(key)), F.lit(0)) == p)
-        out.append(mine.withColumn(into, F.coalesce(listed(levels, F.col(key)), F.lit(False))))
+        out.append(mine.withColumn(into, F.when(F.col(key).isNull(), F.lit(False)).otherwise(listed(levels, F.col(key)))))
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)

@@ -85,7 +85,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             for r in batch.to_pylist():
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out, size = files.open_output_stream(f"{place}/{name}"), 0
+                    out, size = files.open_output_stream(f"{place}/{name}", compression=None), 0
                 refers = None if r["refers_to"] is None else f"urn:x-row:{r['refers_to']}"
                 payload = r["html"].encode()
                 member = record_bytes(f"urn:x-row:{r['row_id']}", "revisit" if refers else "response", r["url"], r["page_id"],
