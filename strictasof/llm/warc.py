@@ -162,9 +162,11 @@ def parse_record(content: bytes) -> dict | None:
 
 def records_in(source: _Source, first: int, last: int):
     """(offset, end, fields) of the records that start in [first, last)."""
-    at = first
+    at, last = first, min(last, source.size)
     while at < last:
-        window = source.fetch(at, min(source.block, last - at + len(MAGIC) - 1))
+        window = source.fetch(at, len(MAGIC))  # where one record ends the next begins, as a rule
+        if window != MAGIC:
+            window = source.fetch(at, min(source.block, last - at + len(MAGIC) - 1))
         found = window.find(MAGIC)
         if found < 0:
             at += max(1, len(window) - len(MAGIC) + 1)
