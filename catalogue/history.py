@@ -490,7 +490,7 @@ def _(spark, folder):
            {rnd('weight_carried')} AS f805_weight_carried, owner_id AS f810_owner_id, sire_id, damsire_id, jockey_id, trainer_id
     FROM entries""")
 def _(spark, folder):
-    rows = X.add_owner_id(X.add_blood_ids(X.add_entry_basics(X.add_event_weather(X.add_event_description(entries(spark, folder))))))
+    rows = X.add_owner_id(X.add_entry_basics(X.add_event_weather(X.add_event_description(entries(spark, folder)))))
     return rows.select(*ID, F.col("f803_distance").cast("long"), "f803_surface", "f803_direction", "f803_season", "f803_prize",
                        "f804_weather", F.col("f804_track_condition").cast("long"), F.col("f503_meeting_no").cast("long"),
                        "f805_age", "f805_sex", r6("f805_weight_carried"), "f810_owner_id",

@@ -239,26 +239,32 @@ def _(spark, folder):
     return out.select(*ID, r6("f802"), r6("f802_z", digits=4), r6("f809_win_rate"), "f803_season")
 
 
+PENDING_FROM = date(2001, 7, 1)
+
+
 @R.query("pending_scores")
 def _(spark, folder):
-    """All events of the last month scored at once over the history before them."""
+    """All events of the last month scored at once: their entries as a card shows them, over the history before them."""
     tables = star.event_tables(spark, folder)
     rows = training_rows(spark, folder)
-    fitted = ranker.fit_rankers(rows.where(F.col("date") < F.lit(date(2001, 7, 1))), FEATURES, {"main": F.lit("train")}, rounds=2, member=ID)
-    pending = rows.where(F.col("date") >= F.lit(date(2001, 7, 1)))
-    entries_ = tables["runners"].join(pending.select("race_id").distinct(), "race_id", "left_semi")
-    probabilities, _ = scoring.score_pending(pending.drop("number", "owner_id"), entries_.dropDuplicates(["race_id", "horse_id"]), fitted, "main")
-    return scoring.pending_combinations(probabilities.groupBy("race_id", "number", "ready").agg(F.sum("win_prob").alias("win_prob")))
-
-
-@R.query("feature_catalogue", None)
+    fitted = ranker.fit_rankers(rows.where(F.col("date") < F.lit(PENDING_FROM)), FEATURES, {"main": F.lit("train")}, member=ID)
+    coming = tables["races"].where(F.col("date") >= F.lit(PENDING_FROM))
+    held = tables["races"].where(F.col("date") < F.lit(PENDING_FROM))
+    entries_ = scoring.before_the_start(tables["runners"].join(coming.select("race_id"), "race_id", "left_semi"))
+    stored = {**tables, "races": held, "runners": tables["runners"].join(held.select("race_id"), "race_id", "left_semi")}
+    built = scoring.pending_matrix(stored, {"races": coming, "runners": entries_}, min_session_n=MIN_SESSION_N, keep=("owner_id", "number"))
+    probabilities, why = scoring.score_pending(stage_table(built), entries_, fitted, "main", member=ID)
+    first = why.where("rank = 1").select(*ID, F.col("family").alias("driver"), F.col("contribution"))
+    return probabilities.join(first, list(ID), "left")
+
+
+@R.query("feature_catalogue", FULL + """
+    SELECT 'F-803' AS name, 'f803_distance' AS "column", '木曜' AS timing, CAST(NULL AS INTEGER) AS minutes_before, TRUE AS event_level,
+           count(*) AS n, count(*) - count(distance) AS n_null FROM entries
+    UNION ALL SELECT 'F-803', 'f803_season', '木曜', NULL, TRUE, count(*), count(*) - count(date) FROM entries
+    UNION ALL SELECT 'F-805', 'f805_age', '木曜', NULL, FALSE, count(*), count(*) - count(age) FROM entries""")
 def _(spark, folder):
-    """Features by route, joined to the number of rows each kind of event feature covers."""
-    specs = matrix.catalogue(spark, [
-        matrix.FeatureSpec("F-803", ("f803_distance", "f803_season"), "木曜", event_level=True),
-        matrix.FeatureSpec("F-603", ("f603_horse_weight",), "当日", 60),
-        matrix.FeatureSpec("F-501", ("f501",), "当日", event_level=True),
-    ])
-    usable = matrix.usable_columns(specs, "本命")
+    """Declared columns that are known in time on a route, with their nulls; a same-day column without minutes is not."""
+    usable = matrix.usable_columns(matrix.catalogue(spark), "本命")
     rows = X.add_entry_basics(X.add_event_description(entries(spark, folder)))
-    return evaluate.null_coverage(rows, ["f803_distance", "f803_season", "f603_horse_weight"]).join(usable, "column")
+    return evaluate.null_coverage(rows, ["f803_distance", "f803_season", "f805_age", "f603_horse_weight"]).join(usable, "column")

@@ -74,3 +74,20 @@ H_FINISH, H_NUMBER, H_FRAME, H_HORSE, H_SEX_AGE = "着順", "馬番", "枠番",
 H_CARRIED, H_JOCKEY, H_TIME, H_MARGIN, H_PASSAGE = "斤量", "騎手", "タイム", "着差", "通過"
 H_LAST_3F, H_ODDS, H_POPULARITY, H_BODY_WEIGHT = "上り", "単勝", "人気", "馬体重"
 H_TRAINER, H_OWNER, H_PRIZE = "調教師", "馬主", "賞金(万円)"
+
+# classes, labels and link folders of the stored pages
+RESULT_TABLE, PAYOUT_TABLE, PEDIGREE_TABLE, CARD_TABLE = "race_table_01", "pay_table_01", "blood_table", "Shutuba_Table"
+EVENT_BLOCK, SMALL_LINE, VENUE_HEAD = "racedata", "smalltxt", "race_top_hold_data"
+CARD_EVENT, CARD_NUMBER, CARD_TITLE, CARD_INFO, CARD_DETAILS = "RaceList_Item02", "RaceNum", "RaceName", "RaceData01", "RaceData02"
+CARD_ROW, CARD_HORSE, CARD_SEX_AGE, CARD_TRAINER, CARD_WEIGHT = "HorseList", "HorseName", "Barei", "Trainer", "Weight"
+L_WEATHER, L_TURF, L_DIRT, L_TRACK, L_START, L_LAP_TABLE, L_LAP, L_CORNERS = "天候", "芝", "ダート", "馬場", "発走", "ラップタイム", "ラップ", "コーナー通過順位"
+K_EVENT, K_HORSE, K_JOCKEY, K_TRAINER, K_OWNER = "race", "horse", "jockey/result/recent", "trainer/result/recent", "owner/result/recent"
+SURFACE_MARKS = {"芝": "芝", "ダ": "ダート"}
+LADDER_VENUE, LADDER_WORDS = "大井", ("新馬", "オープン")
+
+# listing pages: known venues, section headings, mark of jump events
+VENUE_CODES = tuple(f"{i:02d}" for i in range(1, 11))
+SECTION_CENTRAL, SECTION_LOCAL, JUMP_MARK = "中央", "地方", "障"
+
+# rows that a parent and a grandparent span in the pedigree table
+PARENT_ROWS, GRANDPARENT_ROWS = 16, 8

@@ -272,16 +272,12 @@ def add_pace_aptitude(entries: DataFrame, k: float = K, source: DataFrame | None
     return add_shrunken_slope(add_features(entries, [pace_slope()], source=source), k, source)
 
 
-def add_pace_interaction(entries: DataFrame, largest: int | None = None) -> DataFrame:
+def add_pace_interaction(entries: DataFrame) -> DataFrame:
     """Expected pace times the within-event z-score of the pace aptitude (only the aptitude is relativised)."""
-    rows = relativize(entries, "f103", largest=largest)
+    rows = relativize(entries, "f103")
     return rows.withColumn("f104", F.col("f102") * F.col("f103_z"))
 
 
-def add_blood_ids(entries: DataFrame) -> DataFrame:
-    return entries  # sire, damsire, partner and stable ids are columns of the entry frame
-
-
 def _banded(entries: DataFrame, source: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     band = S.distance_band(F.col("distance"))
     rows = entries.withColumn("_band", band)

@@ -1,23 +1,20 @@
 """Operators inside a group: shares, z-scores, ranks, quantiles and top-k.
 
-Sums and extremes of a group are aggregated first and joined back, so a group may be of any size. Ranks need
-an order: groups up to ``LIST_ROWS`` rows look values up in the group's sorted list, larger ones go through
-:func:`value_ranks`; which of the two is planned follows from the size of the largest group, read by one small
-aggregate.
+Sums and extremes of a group are aggregated first and joined back, so a group may be of any size. Ranks and quantiles
+count values: equal values once, in balanced sorted ranges (:func:`value_ranks`), whatever the size of the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prior import longest_history
 from .ranks import value_ranks
-
-LIST_ROWS = 1_000
-BUFFER_ROWS = 1_000_000
+from ..session import stage_table
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], aggregates: Mapping[str, Column],
@@ -43,53 +40,32 @@ def leave_one_out(df: DataFrame, group: Sequence[str], own: Sequence[str], value
     return df.join(others, [*group, *own], "left")
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank",
-                  list_rows: int = LIST_ROWS, largest: int | None = None,
-                  aggregates: Mapping[str, Column] | None = None) -> DataFrame:
-    """Add the average rank (ties share it, null has none) of each column inside its group.
+def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank") -> DataFrame:
+    """Add the average rank (ties share it, null has none) of each numeric column inside its group.
 
-    ``aggregates`` are further whole-group aggregates to add in the same pass.
+    All columns are ranked in one pass over (group, column, value); the ranks of a row come back together.
     """
     group, values = list(group), list(values)
-    if largest is None:
-        largest = longest_history(df, group)
-    if largest <= list_rows:
-        return _listed_ranks(df, group, values, suffix, aggregates or {})
-    sizes = df.groupBy(*group).agg((F.count("*") > list_rows).alias("_large"))
-    marked = df.join(sizes, group, "left")
-    small = _listed_ranks(marked.where(~F.col("_large")), group, values, suffix, aggregates or {})
-    large = marked.where("_large")
-    if aggregates:
-        large = with_group_stats(large, group, aggregates)
-    for value in values:
-        ranks = value_ranks(marked.where("_large"), group, value).select(
-            *group, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(f"{value}{suffix}"))
-        large = large.join(ranks, [*group, value], "left")
-    return small.unionByName(large).drop("_large")
-
-
-def _listed_ranks(df, group, values, suffix, aggregates):
-    """Ranks by position in the group's sorted values: first from the front and first from the back."""
-    lists = {f"_asc_{v}": F.sort_array(F.collect_list(v)) for v in values}
-    rows = with_group_stats(df, group, lists | dict(aggregates))
-    ranks = {}
-    for v in values:
-        ascending = F.col(f"_asc_{v}")
-        first = F.array_position(ascending, F.col(v))
-        last = F.size(ascending) + 1 - F.array_position(F.reverse(ascending), F.col(v))
-        ranks[f"{v}{suffix}"] = F.when(F.col(v).isNotNull(), (first + last) / 2)
-    return rows.withColumns(ranks).drop(*lists)
-
-
-def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id", size: str = "n_starters",
-               largest: int | None = None) -> DataFrame:
+    rows = stage_table(df.withColumn("_row", F.monotonically_increasing_id()))
+    cell = lambda i, v: F.struct(F.lit(i).alias("_column"), F.col(v).cast("double").alias("_value"))
+    cells = rows.select("_row", *group, F.inline(F.array(*[cell(i, v) for i, v in enumerate(values)]))).where(F.col("_value").isNotNull())
+    ranks = value_ranks(cells, [*group, "_column"], "_value").select(
+        *group, "_column", "_value", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rank"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*group, "_column", "_value"]]
+    found = cells.alias("c").join(ranks.alias("r"), reduce(and_, same)).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("c._column", "_rank"))).alias("_ranks"))
+    rows = rows.join(found, "_row", "left")
+    return rows.withColumns({f"{v}{suffix}": F.try_element_at("_ranks", F.lit(i)) for i, v in enumerate(values)}).drop("_row", "_ranks")
+
+
+def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id", size: str = "n_starters") -> DataFrame:
     """Add ``<value>_z`` (null where the group does not vary) and ``<value>_rank`` (average rank / size)."""
     values = [values] if isinstance(values, str) else list(values)
     stats = {}
     for v in values:
         stats[f"_mean_{v}"] = F.avg(v)
         stats[f"_sd_{v}"] = F.stddev_samp(v)
-    rows = average_ranks(df, [group], values, largest=largest, aggregates=stats)
+    rows = average_ranks(with_group_stats(df, [group], stats), [group], values)
     out = {}
     for v in values:
         sd = F.col(f"_sd_{v}")
@@ -99,18 +75,12 @@ def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id
 
 
 def group_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float],
-                    count: str | None = None, buffer_rows: int = BUFFER_ROWS,
-                    largest: int | None = None) -> DataFrame:
-    """Interpolated quantiles per group (and, as ``count``, the number of values).
+                    count: str | None = None) -> DataFrame:
+    """Interpolated quantiles per group (and, as ``count``, the number of values), read off the ranks of the values.
 
-    A group too large for one sorted buffer is read off its value ranks.
+    A group without values has null quantiles and count 0.
     """
     group = list(group)
-    if largest is None:
-        largest = longest_history(df.where(F.col(value).isNotNull()), group)
-    if largest <= buffer_rows:
-        columns = [F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()]
-        return df.groupBy(*group).agg(*columns, *([F.count(value).alias(count)] if count else []))
     ranks = value_ranks(df, group, value)
     upper = F.col("n_below") + F.col("n_equal")
     columns = []
@@ -121,7 +91,11 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles:
         columns.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
     if count:
         columns.append(F.max("n_group").alias(count))
-    return ranks.groupBy(*group).agg(*columns)
+    found = ranks.groupBy(*group).agg(*columns)
+    named = found.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group], F.lit(True))
+    every = df.select(*group).distinct().join(named, same, "left").drop(*[f"_of_{g}" for g in group])
+    return every.fillna(0, [count]) if count else every
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .ranks import value_ranks
 from ..functions.scalars import all_of
-from ..session import stage_table
+from ..session import release, stage_table
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -156,17 +156,9 @@ def mean_of_array(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
-#: keys with at most this many facts take the plain window frame; longer histories are descended
-FRAME_ROWS = 2_000
 _RADIX_BITS = 4
 
 
-def longest_history(facts: DataFrame, keys: Sequence[str]) -> int:
-    """Number of facts of the largest key: one small aggregate, read to choose the plan."""
-    row = facts.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def with_prior_quantile(
     df: DataFrame,
     keys: Sequence[str],
@@ -175,48 +167,28 @@ def with_prior_quantile(
     q: float,
     out: str,
     source: DataFrame | None = None,
-    frame_rows: int = FRAME_ROWS,
 ) -> DataFrame:
     """Add the interpolated ``q`` quantile of the key's strictly earlier values.
 
-    A quantile over a frame costs the square of the history, so only keys with at most ``frame_rows`` facts
-    use one. Longer histories walk down the ranked values, sixteen branches at a time, with running counts:
-    every step is a :func:`with_prior` pass, exact and free of per-key lists.
+    The ranked values are walked down sixteen branches at a time with running counts: every step is a
+    :func:`with_prior` pass, exact and free of per-key lists. There are as many steps as the longest history has
+    hexadecimal digits.
     """
     keys = list(keys)
     known = all_of(F.col(c).isNotNull() for c in [*keys, order])
     source = df if source is None else source
     probes = source.where(known).select(*keys, order).distinct()
-    source = source.where(known).select(*keys, order, value.alias("_value")).where(F.col("_value").isNotNull())
-    largest = longest_history(source, keys)
-    if largest <= frame_rows:
-        found = _frame_quantile(probes, source, keys, order, q)
-    else:
-        sizes = source.groupBy(*keys).agg((F.count("*") > frame_rows).alias("_hot"))
-        source = source.join(sizes, keys)
-        probes = probes.join(sizes, keys)
-        cold = _frame_quantile(
-            probes.where(~F.col("_hot")).drop("_hot"), source.where(~F.col("_hot")).drop("_hot"), keys, order, q)
-        hot = _descended_quantile(
-            probes.where("_hot").drop("_hot"), source.where("_hot").drop("_hot"), keys, order, q, largest)
-        found = cold.unionByName(hot)
+    facts = source.where(known).select(*keys, order, value.alias("_value")).where(F.col("_value").isNotNull())
+    found = _descended_quantile(probes, facts, keys, order, q)
     return df.join(found.withColumnRenamed("_quantile", out), [*keys, order], "left")
 
 
-def _frame_quantile(probes, facts, keys, order, q):
-    rows = facts.withColumn("_probe", F.lit(False)).unionByName(
-        probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-    # probes sort before the facts of their own date, so the rows above a probe are strictly earlier
-    earlier = Window.partitionBy(*keys).orderBy(order, F.col("_probe").desc()).rowsBetween(*_BEFORE)
-    quantile = F.when(F.col("_probe"), F.percentile("_value", F.lit(q)).over(earlier))
-    return rows.select(*keys, order, "_probe", quantile.alias("_quantile")).where("_probe").drop("_probe")
-
-
-def _descended_quantile(probes, facts, keys, order, q, largest):
+def _descended_quantile(probes, facts, keys, order, q):
     # each level reads the coded facts and its own targets more than once, so both are stored
     ranks = stage_table(value_ranks(facts, keys, "_value").select(*keys, "_value", F.col("n_below").alias("_code")))
     coded = stage_table(facts.join(ranks, [*keys, "_value"]).select(*keys, order, "_code"))
-    levels = max(1, -(-max(1, (largest - 1).bit_length()) // _RADIX_BITS))
+    largest = ranks.agg(F.max("_code").alias("n")).first()["n"] or 0
+    levels = max(1, -(-largest.bit_length() // _RADIX_BITS))
     rank = F.lit(q) * (F.col("_n") - 1)
     sought = with_prior(probes, keys, order, {"_n": running_count()}, facts=coded).where(F.col("_n") > 0)
     sought = sought.select(
@@ -227,7 +199,7 @@ def _descended_quantile(probes, facts, keys, order, q, largest):
         )).alias("_end"),
         F.lit(0).cast("long").alias("_node"),
     ).select(*keys, order, "_fraction", "_node", F.col("_end.side").alias("_side"), F.col("_end.k").alias("_k"))
-    sought = stage_table(sought)
+    stored = stage_table(sought)
     digits = range(1 << _RADIX_BITS)
     for level in reversed(range(levels)):
         shift = level * _RADIX_BITS
@@ -235,16 +207,17 @@ def _descended_quantile(probes, facts, keys, order, q, largest):
             else coded.withColumn("_node", F.lit(0).cast("long"))
         digit = F.shiftright("_code", shift).bitwiseAND(F.lit((1 << _RADIX_BITS) - 1))
         counts = {f"_c{d}": running_count(digit == d) for d in digits}
-        sought = with_prior(sought, [*keys, "_node"], order, counts, facts=here)
+        sought = with_prior(stored, [*keys, "_node"], order, counts, facts=here)
         # the branch that holds rank k is the first whose running total passes it
         totals = [sum((F.col(f"_c{i}") for i in range(d + 1)), F.lit(0)) for d in digits]
         passed = F.array(*[t <= F.col("_k") for t in totals])
         chosen = F.size(F.filter(passed, lambda p: p))
         before = F.when(chosen > 0, F.element_at(F.array(*totals), F.greatest(chosen, F.lit(1)))).otherwise(F.lit(0))
-        sought = stage_table(sought.select(
+        last, stored = stored, stage_table(sought.select(
             *keys, order, "_fraction", "_side", (F.col("_k") - before).alias("_k"),
             (F.shiftleft("_node", _RADIX_BITS) + chosen).cast("long").alias("_node")))
-    values = sought.withColumnRenamed("_node", "_code").join(ranks, [*keys, "_code"])
+        release(last)
+    values = stored.withColumnRenamed("_node", "_code").join(ranks, [*keys, "_code"])
     low = F.max(F.when(F.col("_side") == "lo", F.col("_value")))
     high = F.max(F.when(F.col("_side") == "hi", F.col("_value")))
     fraction = F.max("_fraction")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Mapping
 from datetime import date, timedelta
 
@@ -14,32 +13,27 @@ from ..operators.grouped import group_quantiles, top_per_group
 from ..operators.ranks import sorted_positions
 
 DEFAULT_SEED = 20260819
-FOLD_SCHEMA = ("fold_index long, train_start date, train_end date, valid_start date, valid_end date, "
-               "inner_valid_start date, seed long")
+
 
 
 def make_folds(races: DataFrame, today: date, train_years: int | None = None, min_train_years: int = 3,
                sealed_years: int = 3, seed: int = DEFAULT_SEED) -> DataFrame:
     """One row per walk-forward fold: a calendar year is validated with everything (or N years) before it.
 
-    Only the first and last date of the open events are read; the fold table itself has one row per year.
+    The years between the first and the last open event become the rows; each has a seed of its own.
     """
     if min_train_years < 3:
         raise ValueError(f"min_train_years must be at least 3, not {min_train_years}")
-    spark = races.sparkSession
-    kept = races.where(~S.sealed(F.col("date"), F.col("grade"), today, sealed_years))
-    span = kept.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-    if span["first"] is None:
-        return spark.createDataFrame([], FOLD_SCHEMA)
-    seeds = random.Random(seed)
-    folds = []
-    for index, year in enumerate(range(span["first"].year + min_train_years, span["last"].year + 1)):
-        start = date(year, 1, 1)
-        train_start = span["first"] if train_years is None else S.minus_years_date(start, train_years)
-        train_end = start - timedelta(days=1)
-        inner = S.minus_years_date(train_end, 1) + timedelta(days=1)
-        folds.append((index, train_start, train_end, start, date(year, 12, 31), inner, seeds.randrange(2 ** 32)))
-    return spark.createDataFrame(folds, FOLD_SCHEMA)
+    span = races.where(~S.sealed(F.col("date"), F.col("grade"), today, sealed_years)).agg(
+        F.min("date").alias("first"), F.max("date").alias("last"))
+    begin, stop = F.year("first") + min_train_years, F.year("last")
+    years = span.where(begin <= stop).select("first", F.posexplode(F.sequence(begin, stop)).alias("fold_index", "y"))
+    start = F.make_date("y", F.lit(1), F.lit(1))
+    return years.select(
+        F.col("fold_index").cast("long"), (F.col("first") if train_years is None else F.add_months(start, -12 * train_years)).alias("train_start"),
+        F.date_sub(start, 1).alias("train_end"), start.alias("valid_start"), F.make_date("y", F.lit(12), F.lit(31)).alias("valid_end"),
+        F.make_date(F.col("y") - 1, F.lit(1), F.lit(1)).alias("inner_valid_start"),
+        F.pmod(F.xxhash64(F.lit(seed), "y"), F.lit(2 ** 32)).alias("seed"))
 
 
 def fold_rows(folds: DataFrame):

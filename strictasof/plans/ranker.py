@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.grouped import softmax, top_per_group, with_group_stats
 from ..operators.keys import require_disjoint
+from ..session import release, stage_table
+from .declared import OTHER_FAMILY, family
 from .probability import tie_split_label
 
 MIN_HESSIAN = 1e-6
@@ -92,27 +94,26 @@ def fit_rankers(rows: DataFrame, features: Sequence[str], models: Mapping[str, C
     names = list(models)
     roles = [F.when(role.isNotNull(), F.struct(F.lit(n).alias("model"), role.alias("role"))) for n, role in models.items()]
     staged = placed_stages(rows, ["race_id"], member, top_k)
-    used = staged.withColumn("_m", F.explode(F.array_compact(F.array(*roles)))).select(
-        "_m.model", "_m.role", "race_id", "label", "stage", "sample_weight", *features)
+    used = stage_table(staged.withColumn("_m", F.explode(F.array_compact(F.array(*roles)))).select(
+        "_m.model", "_m.role", "race_id", "label", "stage", "sample_weight", F.array(*[_x(f) for f in features]).alias("_x")))
     group = ["model", "race_id"]
     weights = {n: [0.0] * len(features) for n in names}
     best = {n: (float("inf"), 0, weights[n]) for n in names}
     losses: dict[str, list[float]] = {n: [] for n in names}
     running = set(names)
     for round_ in range(1, rounds + 1):
-        z = F.coalesce(*[F.when(F.col("model") == n, _dot(features, weights[n])) for n in sorted(running)])
-        graded = pl_gradient(used.where(F.col("model").isin(*sorted(running))), z, group, top_k, F.col("sample_weight"))
+        graded = pl_gradient(_weighted(used, {n: weights[n] for n in running}), F.col("_z"), group, top_k, F.col("sample_weight"))
         train = F.col("role") == "train"
         sums = []
-        for i, f in enumerate(features):
-            sums += [F.sum(F.when(train, F.col("grad") * _x(f))).alias(f"g{i}"),
-                     F.sum(F.when(train, F.col("hess") * _x(f) * _x(f))).alias(f"h{i}")]
+        for i in range(len(features)):
+            x = F.col("_x")[i]
+            sums += [F.sum(F.when(train, F.col("grad") * x)).alias(f"g{i}"), F.sum(F.when(train, F.col("hess") * x * x)).alias(f"h{i}")]
         for row in graded.groupBy("model").agg(*sums).collect():  # one row per model
             old = weights[row["model"]]
             weights[row["model"]] = [
                 w - step * ((row[f"g{i}"] or 0.0) + ridge * w) / ((row[f"h{i}"] or 0.0) + ridge) for i, w in enumerate(old)]
         if patience is not None:
-            for name, loss in _valid_losses(used, features, {n: weights[n] for n in running}).items():
+            for name, loss in _valid_losses(used, {n: weights[n] for n in running}).items():
                 losses[name].append(loss)
                 if loss < best[name][0]:
                     best[name] = (loss, round_, weights[name])
@@ -120,15 +121,22 @@ def fit_rankers(rows: DataFrame, features: Sequence[str], models: Mapping[str, C
                     running.discard(name)
             if not running:
                 break
+    release(used)
     if patience is None:
         return Rankers(tuple(features), weights, {n: rounds for n in names}, losses)
     chosen = {n: best[n][2] if best[n][1] else weights[n] for n in names}
     return Rankers(tuple(features), chosen, {n: max(1, best[n][1]) for n in names}, losses)
 
 
-def _valid_losses(used, features, weights):
-    z = F.coalesce(*[F.when(F.col("model") == n, _dot(features, w)) for n, w in sorted(weights.items())])
-    rows = used.where((F.col("role") == "valid") & F.col("model").isin(*sorted(weights))).withColumn("_z", z)
+def _weighted(used, weights):
+    """Rows of the given models with their score: one weight array per model, joined by its name."""
+    table = used.sparkSession.createDataFrame(sorted(weights.items()), "model string, _w array<double>")
+    products = F.zip_with("_x", "_w", lambda x, w: x * w)
+    return used.join(F.broadcast(table), "model").withColumn("_z", F.aggregate(products, F.lit(0.0), lambda a, p: a + p)).drop("_w")
+
+
+def _valid_losses(used, weights):
+    rows = _weighted(used.where(F.col("role") == "valid"), weights)
     rows = with_group_stats(rows, ["model", "race_id"], {"_top": F.max("_z")})
     winner = F.col("label") == WINNER_LABEL
     gap = F.col("_z") - F.col("_top")
@@ -200,21 +208,6 @@ def walk_forward(rows: DataFrame, features: Sequence[str], folds: Sequence, flag
 
 # --- drivers --------------------------------------------------------------------------------------------
 
-EXPLICIT_FAMILIES = {"sire_id": "F-201", "damsire_id": "F-201", "jockey_id": "F-201", "trainer_id": "F-201"}
-FAMILY_PREFIXES = {"last3f_": "F-303", "fspd_": "F-304"}
-OTHER_FAMILY = "その他"
-
-
-def feature_family(column: str) -> str:
-    if column in EXPLICIT_FAMILIES:
-        return EXPLICIT_FAMILIES[column]
-    for prefix, family in FAMILY_PREFIXES.items():
-        if column.startswith(prefix):
-            return family
-    digits = column[1:4]
-    return f"F-{digits}" if column.startswith("f") and len(digits) == 3 and digits.isdigit() else OTHER_FAMILY
-
-
 def drivers(rows: DataFrame, rankers: Rankers, model: str, top_k: int = 6, member: Sequence[str] = MEMBER) -> DataFrame:
     """The feature families that move a row's score most: weight times value, summed per family, top k by size.
 
@@ -223,7 +216,7 @@ def drivers(rows: DataFrame, rankers: Rankers, model: str, top_k: int = 6, membe
     families: dict[str, Column] = {}
     for f, w in zip(rankers.features, rankers.weights[model]):
         term = _x(f) * F.lit(float(w))
-        name = feature_family(f)
+        name = family(f)
         families[name] = families[name] + term if name in families else term
     parts = F.array(*[F.struct(F.abs(c).alias("size"), F.lit(n).alias("family"), c.alias("contribution")) for n, c in families.items()])
     ranked = F.slice(F.sort_array(parts, asc=False), 1, top_k)

@@ -1,8 +1,7 @@
-"""Session settings the library relies on, and the shared folder that cuts long lineages."""
+"""Session settings the library relies on, and staged tables in the folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,36 +24,36 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only in local mode, where none is set."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is not None:
-        return
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="strictasof-checkpoint-"))
-    else:
-        raise RuntimeError("iterative jobs need spark.checkpoint.dir to name a folder all executors share")
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
+def staging_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, else below the session's warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/strictasof-{spark.sparkContext.applicationId}"
 
 
 def stage_table(df: DataFrame) -> DataFrame:
-    """Write a frame that several later branches read, as a table in the shared checkpoint folder.
+    """Write a frame that several later branches read, as a table in the shared folder.
 
-    The branches then read only their own columns, the plan starts anew, and a lost executor costs a re-read.
+    The branches then read only their own columns, the plan starts anew, and a lost executor costs a re-read. Tables of
+    finished rounds are removed with :func:`release`, all that is left of a job with :func:`drop_staged`.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{staging_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a plan that starts from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, such as those of a loop's earlier rounds."""
+    for df in staged:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if f"/strictasof-{df.sparkSession.sparkContext.applicationId}/" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove every staged table of this application; results that read them must have been written before."""
+    _delete(spark, staging_folder(spark))

@@ -86,11 +86,10 @@ def test_recent_values_newest_first(facts):
         assert (out[row.id] or []) == list(past.v.head(5))
 
 
-@pytest.mark.parametrize("frame_rows", [10_000, 200, 0])
 @pytest.mark.parametrize("q", [0.25, 0.5])
-def test_prior_quantile_on_every_path(facts, frame_rows, q):
+def test_prior_quantile(facts, q):
     pdf, df = facts
-    out = {r["id"]: r["q"] for r in P.with_prior_quantile(df, ["k"], "d", F.col("v"), q, "q", frame_rows=frame_rows).collect()}
+    out = {r["id"]: r["q"] for r in P.with_prior_quantile(df, ["k"], "d", F.col("v"), q, "q").collect()}
     assert len(out) == len(pdf)
     for row in pdf.itertuples():
         values = [] if pd.isna(row.k) else earlier(pdf, row).v.dropna()
@@ -121,19 +120,17 @@ def test_sorted_positions_of_texts(spark):
     assert got == {w: i for i, w in enumerate(words)}
 
 
-@pytest.mark.parametrize("list_rows", [10_000, 200, 0])
-def test_average_ranks_on_every_path(facts, list_rows):
+def test_average_ranks(facts):
     pdf, df = facts
-    out = {r["id"]: r["v_avg_rank"] for r in average_ranks(df.where("k is not null"), ["k"], ["v"], list_rows=list_rows).collect()}
+    out = {r["id"]: r["v_avg_rank"] for r in average_ranks(df.where("k is not null"), ["k"], ["v"]).collect()}
     expected = pdf.dropna(subset=["k"]).assign(r=lambda x: x.groupby("k").v.rank(method="average"))
     assert all(out[r.id] == (None if pd.isna(r.r) else r.r) for r in expected.itertuples())
 
 
-@pytest.mark.parametrize("buffer_rows", [10_000, 0])
-def test_group_quantiles_on_every_path(facts, buffer_rows):
+def test_group_quantiles(facts):
     pdf, df = facts
     out = {r["k"]: (r["q"], r["n"]) for r in group_quantiles(
-        df.where("k is not null"), ["k"], "v", {"q": 0.3}, count="n", buffer_rows=buffer_rows).collect()}
+        df.where("k is not null"), ["k"], "v", {"q": 0.3}, count="n").collect()}
     for k, group in pdf.dropna(subset=["k"]).groupby("k"):
         assert out[k] == (pytest.approx(np.quantile(group.v.dropna(), 0.3)), group.v.notna().sum())
 

@@ -2,13 +2,15 @@
 
 from datetime import date
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from strictasof.functions import scalars as S
 from strictasof.operators import keys as K
 from strictasof.operators import quality as Q
-from strictasof.plans import matrix
+from strictasof.plans import declared, matrix
 from strictasof.plans.evaluate import to_markdown
 from strictasof.sources import ingest as I
 from tests.conftest import D, RACE, RUNNER, race, rows_of, runner
@@ -149,15 +151,33 @@ def test_readiness_and_enrichment(spark):
 
 
 def test_catalogue_routes(spark):
-    spec = matrix.FeatureSpec
-    table = matrix.catalogue(spark, [spec("F-1", ("a", "b"), "木曜"), spec("F-2", ("c",), "当日", 60), spec("F-3", ("d",), "当日", 5), spec("F-4", ("e",), "当日")])
+    spec = declared.Feature
+    table = matrix.catalogue(spark, [spec("F-1", ("a",), ("b",)), spec("F-2", ("c",), timing="当日", minutes_before=60),
+                                     spec("F-3", ("d",), timing="当日", minutes_before=5), spec("F-4", ("e",), timing="当日")])
     columns = lambda route: sorted(r["column"] for r in matrix.usable_columns(table, route).collect())
     assert columns("暫定") == ["a", "b"] and columns("本命") == ["a", "b", "c"]
     assert [r["name"] for r in matrix.unresolved_deadlines(table).collect()] == ["F-4"]
     with pytest.raises(ValueError):
-        spec("F-5", ("x",), "木曜", 10)
+        matrix.catalogue(spark, [spec("F-5", ("x",), minutes_before=10)])
     with pytest.raises(ValueError):
-        matrix.catalogue(spark, [spec("F-1", ("a",), "木曜")] * 2)
+        matrix.catalogue(spark, [spec("F-1", ("a",))] * 2)
+
+
+def test_declared_columns():
+    assert [declared.family(c) for c in ("f802", "f802_z", "f802_unavailable", "f703_travel_flag_unavailable", "fspd_unavailable", "jockey_id", "x")] == [
+        "F-802", "F-802", "F-802", "F-703", "F-304", "F-201", declared.OTHER_FAMILY]
+    assert declared.to_relativise(["f802", "f802_unavailable", "f803_distance", "f803_season", "f103", "f103_z", "f601_margin_prev", "own"]) == [
+        "f802", "f601_margin_prev", "own"]
+
+
+def test_staged_tables_have_an_owner(spark):
+    from strictasof import session
+    first, second = session.stage_table(spark.range(3)), session.stage_table(spark.range(4))
+    session.release(first)
+    assert second.count() == 4 and not os.path.exists(first.inputFiles()[0].removeprefix("file://")) if first.inputFiles() else True
+    session.drop_staged(spark)
+    folder = session.staging_folder(spark).removeprefix("file:")
+    assert not os.path.exists(folder)
 
 
 def test_reports(spark):
