@@ -207,9 +207,13 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, block_byt
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with payload_bytes, and refers_to: the page id of a revisit's response, whose payload it shares."""
-    sized = records.select("record_id", "record_type", "page_id", "refers_to_record", "payload_digest",
-                           F.octet_length("payload").cast("long").alias("payload_bytes"))
+    """Records with payload_bytes, and refers_to: the page id of a revisit's response, whose payload it shares.
+
+    The records' facts are stored first: the archives are read once, and the join is planned by their true size rather
+    than that of the short list of archives they come from.
+    """
+    sized = stage(records.select("record_id", "record_type", "page_id", "refers_to_record", "payload_digest",
+                                 F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
     held = sized.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"),
         F.col("payload_digest").alias("_digest"))
