@@ -234,7 +234,17 @@ for _name, _by in (("baseline_report", ""), ("baseline_by_year", "year,")):
 @R.query("bootstrap_ci")
 def _(spark, folder):
     ledger = E.race_ledger(runners(spark, folder), star.payouts(spark, folder))
-    return bootstrap.bootstrap_interval(ledger, F.col("payout_yen"), F.col("stake_yen"), 2000, by=["strategy", "bet_type"])
+    return bootstrap.bootstrap_interval(ledger, F.col("payout_yen"), F.col("stake_yen"), by=["strategy", "bet_type"])
+
+
+@R.query("bootstrap_encloses", TICKETS + LEDGER + f"""
+    SELECT strategy, bet_type, count(*) AS n, {rnd('sum(payout_yen) / sum(stake_yen)')} AS ratio, TRUE AS encloses FROM ledger GROUP BY 1, 2""")
+def _(spark, folder):
+    """Units, point ratio and whether the interval encloses it, per slice."""
+    ledger = E.race_ledger(runners(spark, folder), star.payouts(spark, folder))
+    out = bootstrap.bootstrap_interval(ledger, F.col("payout_yen"), F.col("stake_yen"), by=["strategy", "bet_type"])
+    inside = F.col("ratio").between(F.col("ci_low"), F.col("ci_high"))
+    return out.select("strategy", "bet_type", "n", r6("ratio"), inside.alias("encloses"))
 
 
 BOTH = GROUPS + SOFT + """, mm AS (SELECT *, CASE WHEN label = 3 THEN 1.0 / count(*) FILTER (WHERE label = 3) OVER (PARTITION BY race_id) ELSE 0.0 END AS y2 FROM soft),
@@ -265,7 +275,7 @@ R.add("slice_compare", _capture(["grade", "year"]), MODEL + BOTH + f"""
 @R.query("slice_compare_ci")
 def _(spark, folder):
     diff = E.paired_difference(_model_losses(spark, folder), E.market_scores(runners(spark, folder)), ["grade"])
-    return bootstrap.bootstrap_interval(diff, F.col("difference"), F.lit(1), 1000, by=["grade"])
+    return bootstrap.bootstrap_interval(diff, F.col("difference"), F.lit(1), by=["grade"])
 
 
 WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -290,7 +300,7 @@ def _(spark, folder):
 @R.query("blend_weight_ci")
 def _(spark, folder):
     losses = E.blend_losses(blended(spark, folder), "p", "q", WEIGHTS)
-    return bootstrap.blend_weight_interval(losses, WEIGHTS, 200)
+    return bootstrap.blend_weight_interval(losses, WEIGHTS)
 
 
 @R.query("completion_check", MODEL + MARKET + SOFT + f"""
@@ -383,7 +393,7 @@ def _(spark, folder):
 @R.query("score_picks_ci")
 def _(spark, folder):
     picks = L.settled_picks(prediction_records(spark, folder), runners(spark, folder), star.payouts(spark, folder))
-    return bootstrap.bootstrap_interval(picks, F.col("payout_ratio") * F.col("stake"), F.col("stake"), 2000, seed=42, by=["bet_type"])
+    return bootstrap.bootstrap_interval(picks, F.col("payout_ratio") * F.col("stake"), F.col("stake"), seed=42, by=["bet_type"])
 
 
 @R.query("score_warnings", TICKETS + """

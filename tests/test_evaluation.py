@@ -124,15 +124,19 @@ def test_ledger_counts_tickets_without_listing_pairs(spark):
     assert roi == pytest.approx(790 / 500)
 
 
-@pytest.mark.parametrize("block_cells", [4096, 3])
-def test_bootstrap_agrees_with_resampling_rows(spark, block_cells):
+def test_bootstrap_agrees_with_resampling_rows(spark):
     rng = np.random.default_rng(1)
     pay = rng.choice([0, 0, 0, 150, 320, 900], size=400)
     df = spark.createDataFrame([(int(p), 100) for p in pay], "p long, s long")
-    mine = np.array([r["ratio"] for r in bootstrap.bootstrap_ratio(df, F.col("p"), F.col("s"), 3000, seed=2, block_cells=block_cells).collect()])
+    mine = np.array([r["ratio"] for r in bootstrap.bootstrap_ratio(df, F.col("p"), F.col("s"), 3000, seed=2).collect()])
     rows = pay[rng.integers(0, 400, size=(3000, 400))].sum(axis=1) / 40000
     assert mine.mean() == pytest.approx(rows.mean(), abs=0.02) and mine.std() == pytest.approx(rows.std(), rel=0.08)
     again = bootstrap.bootstrap_interval(df, F.col("p"), F.col("s"), 500, seed=2).collect()
+    for parts in (1, 7):  # the draws of a value do not depend on where it lies
+        cells = bootstrap.value_cells(df.repartition(parts), {"num": F.col("p"), "den": F.col("s")}).repartition(parts)
+        sums = {r["rep"]: r["num"] for r in bootstrap.bootstrap_sums(cells, ["num", "den"], 200, seed=2).collect()}
+        assert parts == 1 or sums == last
+        last = sums
     assert again == bootstrap.bootstrap_interval(df, F.col("p"), F.col("s"), 500, seed=2).collect()
     assert again[0]["ci_low"] < again[0]["ratio"] < again[0]["ci_high"]
     (one,) = bootstrap.bootstrap_interval(df.limit(1), F.col("p"), F.col("s"), 50).collect()
