@@ -4,8 +4,10 @@ Fingerprints that differ in at most ``distance`` bits are linked. The 64 bits ar
 correlated bits together, and each partition gets its own threshold; as long as the thresholds plus one add up to more
 than ``distance``, any linked pair is within the threshold in some partition. Number of partitions and thresholds are
 chosen by dynamic programming on the probes they cost and the candidates they are expected to bring, from the measured
-bit statistics. Every fingerprint is indexed under its bits of a partition and probes all values within the threshold;
-candidates are verified on all bits.
+bit statistics. The flips of a threshold are shared: a fingerprint is indexed under its bits of a partition with up to
+half of them and probes with up to the other half, so two that are within the threshold meet under some value. Candidates
+are verified on all bits and, where ``verify`` is given, on 128 further bits of independent hashes: those decide about
+similarity when ``distance`` alone would let strangers pass.
 
 Equal fingerprints are one node from the start. A value under which very many fingerprints are indexed is cut into blocks
 whose members meet in separate tasks; a task gives links enough to connect what it found, not all pairs. Components come
@@ -35,35 +37,49 @@ PROBE_COST = 4.0
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """Bit by bit, whether over half of the shingle hashes have it; 0 for a text without words."""
+def _majority(digests: bytes, width: int) -> bytes:
+    """The bits that over half of the hashes of ``width`` bytes have set."""
+    hashes = np.frombuffer(digests, np.uint8).reshape(-1, width)
+    seen = np.bincount((hashes + np.arange(0, 256 * width, 256, dtype=np.int64)).ravel(), minlength=256 * width).reshape(width, 256)
+    return np.packbits(2 * (seen @ _BYTE_BITS).ravel() > len(hashes)).tobytes()  # most significant bit first
+
+
+def sketch(text: str, words: int = WORDS, seed: int = SEED, further: bool = False) -> bytes:
+    """The fingerprint of a text's shingles, 8 bytes, and if asked for 16 further bytes; zeros for a text without words."""
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return bytes(24 if further else 8)
     whole = b" ".join(found)
-    if len(found) < words:
-        digests = xxhash.xxh64_digest(whole, seed)
-    else:
+    shingles = [whole]
+    if len(found) >= words:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(lengths + 1) - 1
         starts = (ends - lengths)[:len(found) - words + 1].tolist()
-        hash_of = xxhash.xxh64_digest
-        digests = b"".join([hash_of(whole[a:b], seed) for a, b in zip(starts, ends[words - 1:].tolist())])
-    hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    seen = np.bincount((hashes + np.arange(0, 2048, 256, dtype=np.int64)).ravel(), minlength=2048).reshape(8, 256)
-    ones = (seen @ _BYTE_BITS).ravel()  # most significant bit first
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        shingles = [whole[a:b] for a, b in zip(starts, ends[words - 1:].tolist())]
+    hash_of, other = xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    first = _majority(b"".join([hash_of(s, seed) for s in shingles]), 8)
+    return first + _majority(b"".join([other(s, seed) for s in shingles]), 16) if further else first
+
+
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """Bit by bit, whether over half of the shingle hashes have it; 0 for a text without words."""
+    return int.from_bytes(sketch(text, words, seed), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """The other columns of ``docs`` with ``fp``, the fingerprint as a signed long. Null counts as empty."""
-    kept = [c for c in docs.columns if c not in (text, "fp")]
-    schema = widened(docs.select(*kept), "fp long")
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seed: int = SEED, further: bool = False) -> DataFrame:
+    """The other columns of ``docs`` with ``fp`` and, if asked for, the further bits ``c1`` and ``c2``, as signed longs.
+
+    Null counts as empty.
+    """
+    added = ["fp", "c1", "c2"] if further else ["fp"]
+    kept = [c for c in docs.columns if c not in (text, *added)]
+    schema = widened(docs.select(*kept), ", ".join(f"{c} long" for c in added))
 
     def work(batches):
         for batch in batches:
-            fp = np.array([fingerprint(v.as_py() or "", words, seed) for v in batch.column(text)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(fp)], schema.names)
+            bits = b"".join([sketch(v.as_py() or "", words, seed, further) for v in batch.column(text)])
+            table = np.frombuffer(bits, ">i8").astype(np.int64).reshape(-1, len(added))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c) for c in table.T.copy()]], schema.names)
 
     return docs.select(*kept, text).mapInArrow(work, schema)
 
@@ -111,19 +127,31 @@ def correlated_partitions(n: int, together: np.ndarray, parts: int) -> list[list
     return groups
 
 
+def _shared(e: int) -> tuple[int, int]:
+    """Flips that the index and the probes of a threshold take."""
+    return e // 2, e - e // 2
+
+
+def _meetings(width: int, apart: int, index: int, probe: int) -> int:
+    """Values within ``index`` flips of one and ``probe`` flips of another of two numbers that differ in ``apart`` bits."""
+    return sum(math.comb(apart, s) * math.comb(width - apart, t) for s in range(apart + 1) for t in range(probe + 1)
+               if s + t <= probe and apart - s + t <= index and t <= width - apart)
+
+
 def _costs(n: int, alone: np.ndarray, group: list[int], distance: int) -> list[float]:
-    """Cost of thresholds -1, 0, .. distance for one partition: probes plus candidate pairs expected from the bits."""
-    within = np.zeros(len(group) + 1)
-    within[0] = 1.0
-    for b in group:  # distribution of the number of bits in which two fingerprints differ
+    """Cost of thresholds -1, 0, .. distance for one partition: rows to deal out plus meetings expected from the bits."""
+    apart = np.zeros(len(group) + 1)  # distribution of the number of bits in which two fingerprints differ
+    apart[0] = 1.0
+    for b in group:
         q = 2 * alone[b] * (1 - alone[b])
-        within[1:] = within[1:] * (1 - q) + within[:-1] * q
-        within[0] *= 1 - q
-    costs, probes, near = [0.0], 0.0, 0.0
+        apart[1:] = apart[1:] * (1 - q) + apart[:-1] * q
+        apart[0] *= 1 - q
+    costs = [0.0]
     for e in range(distance + 1):
-        probes += math.comb(len(group), e)
-        near += within[e] if e <= len(group) else 0.0
-        costs.append(PROBE_COST * n * probes + near * n * n / 2)
+        index, probe = _shared(e)
+        rows = sum(math.comb(len(group), k) for k in range(probe + 1))
+        meet = sum(p * _meetings(len(group), d, index, probe) for d, p in enumerate(apart.tolist()) if d <= e)
+        costs.append(PROBE_COST * n * rows + meet * n * n / 2)
     return costs
 
 
@@ -157,32 +185,40 @@ def _gather(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def _flips(width: int, most: int) -> np.ndarray:
-    """Masks with 1 .. most bits set among ``width``."""
-    masks = level = np.zeros(1, np.uint64)
-    for _ in range(most):
-        level = np.unique((level[:, None] | (np.uint64(1) << np.arange(width, dtype=np.uint64))[None, :]).ravel())
-        masks = np.union1d(masks, level)
-    return masks[masks > 0]
+def _flips(width: int, least: int, most: int) -> np.ndarray:
+    """Masks with ``least`` .. ``most`` bits set among ``width``."""
+    level, out = np.zeros(1, np.uint64), []
+    for n in range(most + 1):
+        if n:
+            level = np.unique((level[:, None] | (np.uint64(1) << np.arange(width, dtype=np.uint64))[None, :]).ravel())
+            level = level[np.bitwise_count(level) == n]
+        if n >= least:
+            out.append(level)
+    return np.concatenate(out) if out else level[:0]
 
 
-def probes(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, value, fp, role): role 0 under the own value, role 1 under every other value within the threshold."""
-    plan = [(p, bits, _flips(len(bits), e)) for p, (bits, e) in enumerate(chosen)]
+def probes(nodes: DataFrame, chosen: list[tuple[list[int], int]], carried: list[str]) -> DataFrame:
+    """(part, value, role, carried): role 0 under the values a node is indexed under, role 1 where it only probes."""
+    plan = []
+    for p, (bits, e) in enumerate(chosen):
+        index, probe = _shared(e)
+        plan.append((p, bits, _flips(len(bits), 0, index), _flips(len(bits), index + 1, probe)))
 
     def work(batches):
         for batch in batches:
-            every = batch.column("fp").to_numpy()
-            for fp in np.array_split(every, max(1, len(every) // 2000)):
-                for p, bits, masks in plan:
-                    own = _gather(fp.view(np.uint64), bits)
-                    values = np.concatenate([own, (own[:, None] ^ masks[None, :]).ravel()]).view(np.int64)
-                    whose = np.concatenate([fp, np.repeat(fp, len(masks))])
-                    role = np.concatenate([np.zeros(len(fp), np.int8), np.ones(len(fp) * len(masks), np.int8)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), p, np.int8)), pa.array(values), pa.array(whose),
-                                                      pa.array(role)], ["part", "value", "fp", "role"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fp = part.column("fp").to_numpy().view(np.uint64)
+                for p, bits, held, tried in plan:
+                    own = _gather(fp, bits)
+                    values = np.concatenate([(own[:, None] ^ m[None, :]).ravel() for m in (held, tried)]).view(np.int64)
+                    whose = np.concatenate([np.repeat(np.arange(len(fp)), len(m)) for m in (held, tried)])
+                    role = (np.arange(len(values)) >= len(fp) * len(held)).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), p, np.int8)), pa.array(values), pa.array(role),
+                                                      *[pa.array(part.column(c).to_numpy()[whose]) for c in carried]],
+                                                     ["part", "value", "role", *carried])
 
-    return distinct.select("fp").mapInArrow(work, "part byte, value long, fp long, role byte")
+    return nodes.select(*carried).mapInArrow(work, "part byte, value long, role byte, " + ", ".join(f"{c} long" for c in carried))
 
 
 def _connect(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,20 +239,34 @@ def _connect(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(distinct: DataFrame, chosen: list[tuple[list[int], int]], distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links that connect every pair of fingerprints within ``distance``."""
-    rows = probes(distinct, chosen)
+def links(nodes: DataFrame, chosen: list[tuple[list[int], int]], distance: int = DISTANCE, verify: int | None = None,
+          block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect every verified pair. Nodes are fingerprints, with ``verify`` those of column ``node``."""
+    carried = ["fp"] if verify is None else ["node", "fp", "c1", "c2"]
+    rows = probes(nodes, chosen, carried)
     owners = rows.where("role = 0").groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = stage(owners.select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-values")
     rows = rows.join(hot, ["part", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = rows.select("part", "value", "fp", "role", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"))
+    home = F.pmod(F.xxhash64(carried[0]), F.col("blocks")).cast("int")
+    rows = rows.select("part", "value", "role", *carried, home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"))
     rows = rows.withColumn("role", F.when((F.col("role") == 0) & (F.col("home") == F.col("sub")), 0).otherwise(1).cast("byte"))
     keys = ["part", "value", "sub"]
-    rows = rows.select(*keys, "role", "fp").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "role")
+    rows = rows.select(*keys, "role", *carried).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "role")
+
+    def near(index: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the verified pairs of two tables of nodes (a column each; the first names the node)."""
+        at = 0 if verify is None else 1
+        apart = np.bitwise_count((index[at][:, None] ^ part[at][None, :]).view(np.uint64))
+        i, j = np.nonzero((apart <= distance) & (index[0][:, None] != part[0][None, :]))
+        if verify is not None and len(i):
+            total = apart[i, j].astype(np.int64)
+            for c in (2, 3):
+                total += np.bitwise_count((index[c][i] ^ part[c][j]).view(np.uint64))
+            i, j = i[total <= verify], j[total <= verify]
+        return i, j
 
     def compare(batches):
-        held = None  # index entries of the group that the last batch ended in
+        held = None  # the group that the last batch ended in, and what of its index was seen
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
@@ -229,28 +279,26 @@ def links(distinct: DataFrame, chosen: list[tuple[list[int], int]], distance: in
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
-            fp, role = batch.column("fp").to_numpy(), batch.column("role").to_numpy()
+            table = np.stack([batch.column(c).to_numpy() for c in carried])
+            role = batch.column("role").to_numpy()
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            first = np.concatenate([[0], cuts])
-            last = np.concatenate([cuts, [len(fp)]])
-            owners_in = np.add.reduceat((role == 0).astype(np.int64), first)
-            carried = held[1] if held is not None and (held[0] == key[:, 0]).all() else np.zeros(0, np.int64)
-            use = np.flatnonzero((owners_in > 0) & (last - first > 1))
-            if len(carried):
-                use = np.union1d([0], use)
-            end = len(first) - 1
-            held = (key[:, -1].copy(), np.concatenate([carried, fp[first[end]:last[end]][role[first[end]:last[end]] == 0]])
-                    if end == 0 else fp[first[end]:last[end]][role[first[end]:last[end]] == 0])
+            first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(role)]])
+            indexed = np.add.reduceat((role == 0).astype(np.int64), first)
+            carry = held[1] if held is not None and (held[0] == key[:, 0]).all() else table[:, :0]
+            use = np.flatnonzero((indexed > 0) & (last - first > 1))
+            use = np.union1d([0], use) if carry.shape[1] else use
+            own = table[:, first[-1]:first[-1] + indexed[-1]]  # rows of the index come first in a group
+            held = key[:, -1].copy(), np.concatenate([carry, own], axis=1) if len(first) == 1 else own
             for g in use.tolist():
-                mine = fp[first[g]:last[g]]
-                index = mine[:owners_in[g]]
-                index = np.concatenate([carried, index]) if g == 0 and len(carried) else index
-                for part in np.array_split(mine, max(1, math.ceil(len(mine) * len(index) / PAIRS))):
-                    near = np.bitwise_count((index[:, None] ^ part[None, :]).view(np.uint64)) <= distance
-                    near &= index[:, None] != part[None, :]
-                    i, j = np.nonzero(near)
+                mine = table[:, first[g]:last[g]]
+                index = mine[:, :indexed[g]]
+                index = np.concatenate([carry, index], axis=1) if g == 0 else index
+                pieces = max(1, math.ceil(mine.shape[1] * index.shape[1] / PAIRS))
+                for part in np.array_split(mine, pieces, axis=1):
+                    i, j = near(index, part)
                     if len(i):
-                        found.append(_connect(index[i], part[j]) if len(i) > 64 else (index[i], part[j]))
+                        pair = index[0][i], part[0][j]
+                        found.append(_connect(*pair) if len(i) > 64 else pair)
                 if sum(len(a) for a, _ in found) > 200_000:
                     yield flush()
         yield flush()
@@ -278,30 +326,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, words: int = WORDS,
-                    seed: int = SEED, block: int = BLOCK) -> DataFrame:
+                    seed: int = SEED, verify: int | None = None, block: int = BLOCK) -> DataFrame:
     """The columns of ``docs`` without text, with fp, component (a number per component) and component_id.
 
-    ``component_id`` is the smallest id reachable through links, the row's own included.
-
-    Texts without words have fingerprint 0 and are linked like any other. Null ids take part but name no component; one
-    of null ids only has a null id. An empty table gives no rows.
+    ``component_id`` is the smallest id reachable through links, the row's own included. ``verify``: most of the 192 bits
+    of fingerprint and further hashes that may differ; without it the fingerprint alone decides. Texts without words have
+    fingerprint 0 and are linked like any other. Null ids take part but name no component; one of null ids only has a null
+    id. An empty table gives no rows.
     """
-    rows = stage(fingerprints(docs.drop("component", "component_id"), text, words, seed), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct")
-    n, together = bit_statistics(distinct)
+    key = ["fp"] if verify is None else ["fp", "c1", "c2"]
+    rows = stage(fingerprints(docs.drop("component", "component_id"), text, words, seed, verify is not None), "fingerprints")
+    nodes = rows.groupBy(*key).agg(F.min(doc_id).alias("first"))
+    node = "fp" if verify is None else "node"
+    nodes = stage(nodes if verify is None else nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n, together = bit_statistics(nodes)
     if n:
-        labels = components(links(distinct, allocate(n, together, distance), distance, block))
-        grouped = distinct.join(labels, distinct.fp == labels.node, "left").select(
-            "fp", "first", F.coalesce("component", "fp").alias("component"))
+        labels = components(links(nodes, allocate(n, together, distance), distance, verify, block)).withColumnRenamed("node", "_node")
+        grouped = nodes.join(labels, F.col(node) == F.col("_node"), "left").select(
+            *key, "first", F.coalesce("component", node).alias("component"))
         least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-        named = grouped.join(least, "component").select("fp", "component", "component_id")
+        named = grouped.join(least, "component").select(*key, "component", "component_id")
     else:
-        named = distinct.select("fp", F.col("fp").alias("component"), F.col("first").alias("component_id"))
-    return rows.join(named, "fp")
+        named = nodes.select(*key, F.col(node).alias("component"), F.col("first").alias("component_id"))
+    return rows.join(named, key).drop("c1", "c2")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, null ids last, and of equal ids any one."""
+    """``docs`` with one row of each component: that of the smallest id, null ids last, and of equal ids any one.
+
+    Settings are those of :func:`near_duplicates`.
+    """
     rows = numbered(docs, bundle(docs, docs.columns), name="texts")
     found = near_duplicates(rows.select("row_id", *unbundle([doc_id, text])), text, doc_id, **settings)
     first = found.groupBy("component").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), doc_id, "row_id")).alias("f"))

@@ -160,6 +160,37 @@ def test_near_dedup_matches_brute_force(spark, corpus, block):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_verified_near_dedup_matches_brute_force(spark, corpus):
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+    changed = [" ".join("new" if rng.random() < share else w for w in base) for share in (0, .005, .01, .01, .02, .02, .03, .05, .1, .3)]
+    texts = corpus + changed
+    rows = [(i, t, f"r{i}", 0) for i, t in enumerate(texts)]
+    bits = [near_dedup.sketch(t or "", 5, 42, True) for t in texts]
+    apart = lambda x, y: (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(bits):
+            for j, y in enumerate(bits):
+                if apart(x[:8], y[:8]) <= 8 and apart(x, y) <= 29:
+                    label[i] = label[j] = min(label[i], label[j])
+    got = near_dedup.near_duplicates(frame(spark, rows), words=5, distance=8, verify=29)
+    assert {r.row_id: r.component_id for r in got.collect()} == {f"r{i}": c for i, c in enumerate(label)}
+    assert 1 < len({c for c in label[len(corpus):]}) < len(changed)
+    kept = near_dedup.one_of_each(frame(spark, rows), words=5, distance=8, verify=29)
+    assert {r.doc_id for r in kept.collect()} == set(label)
+
+
+def test_flips_meet_within_the_threshold():
+    for width, e in ((6, 0), (6, 1), (6, 2), (7, 3), (7, 4)):
+        index, probe = near_dedup._shared(e)
+        held, tried = near_dedup._flips(width, 0, index), near_dedup._flips(width, index + 1, probe)
+        for x in range(1 << width):
+            meet = sum(int(a) == int(b) ^ x for a in held for b in np.concatenate([held, tried]))
+            assert bool(meet) == (x.bit_count() <= e) or (meet and x.bit_count() <= index + probe)
+            assert meet == near_dedup._meetings(width, x.bit_count(), index, probe)
+
+
 def test_thresholds_cover_every_distance():
     rng = np.random.default_rng(1)
     bits = rng.random((500, 64)) < 0.5
