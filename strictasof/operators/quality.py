@@ -188,13 +188,15 @@ def warn_rows(tables: Tables, checks: Mapping[str, Mapping[str, Callable]] = WAR
         for name, cuts in checks.items() for cut, check in cuts.items()])
 
 
-def findings(tables: Tables, run_id: int, per_check: int = 20) -> DataFrame:
-    """Ledger rows of one run: the first violations of every fail check and every yearly rate.
+def findings(tables: Tables, run_id: int, per_check: int | None = None) -> DataFrame:
+    """Ledger rows of one run: every violation of the fail checks and every yearly rate.
 
-    The ledger keeps a bounded sample by design; :func:`fail_counts` counts all violations.
+    ``per_check`` is for reports that show only the first violations of each check.
     """
-    order = [F.col("race_id"), F.col("horse_id"), F.col("detail")]
-    failed = top_per_group(fail_rows(tables), ["check_id"], order, per_check).select(
+    failed = fail_rows(tables)
+    if per_check is not None:
+        failed = top_per_group(failed, ["check_id"], [F.col("race_id"), F.col("horse_id"), F.col("detail")], per_check)
+    failed = failed.select(
         "check_id", F.lit("fail").alias("severity"), "race_id", "horse_id", "detail")
     yearly = warn_rows(tables).where("cut = 'by_year'")
     totals = yearly.groupBy("check_id").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
