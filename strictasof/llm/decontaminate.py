@@ -113,7 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     by_text = hits.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
-    by_text = by_text.select(F.col("key").alias("_key"), _union_length(F.col("spans")).alias("n_hit"), "items")
+    # stored, so that the rows of a text with very many copies can be split in the join
+    by_text = stage(by_text.select(F.col("key").alias("_key"), _union_length(F.col("spans")).alias("n_hit"), "items"), "hits")
     rows = docs.select(*kept, text_key(F.col(text)).alias("_key"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(by_text, "_key", "left").select(

@@ -344,7 +344,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         labels = components(links(nodes, allocate(n, together, distance), distance, verify, block)).withColumnRenamed("node", "_node")
         grouped = nodes.join(labels, F.col(node) == F.col("_node"), "left").select(
             *key, "first", F.coalesce("component", node).alias("component"))
-        least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+        # stored first, so that the rows of a large component can be split in the join
+        least = stage(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "least")
         named = grouped.join(least, "component").select(*key, "component", "component_id")
     else:
         named = nodes.select(*key, F.col(node).alias("component"), F.col("first").alias("component_id"))

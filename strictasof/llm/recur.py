@@ -8,7 +8,7 @@
 3. Verdicts. An anchor with one segment, seen twice, needs no more: all of it recurs. Else the operator's own ``judge``
    looks at all segments of some anchors together (a shard of bounded size) and says which stretches recur. An anchor
    with more than ``crowd`` different segments is judged window by window, counted by content over all tasks.
-4. The stretches go back to the documents by row.
+4. The stretches go back to the documents by row. Tables that nothing reads any more are removed on the way.
 
 No step holds more than a document, a shard or one task's counts. Lengths are in units; positions count from 0.
 """
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Rolling, bundle, flat_bytes, mix, numbered, parts_by_size, stage
+from .common import SPACES, Rolling, bundle, flat_bytes, mix, numbered, parts_by_size, release, stage
 
 #: units handled at a time when anchors are sought; also the room for positions in a sort key
 CHUNK, POSITION_BITS = 1 << 20, 24
@@ -201,30 +201,39 @@ def recurring(docs: DataFrame, units: Units, length: int, gram: int, judge: Judg
     """
     rows = numbered(docs, bundle(docs, [c for c in docs.columns if c != text], "others"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), name="texts")
-    copies = rows.select("row_id", F.md5("text").alias("key")).where(F.col("key").isNotNull())
-    counted = copies.groupBy("key").agg(F.min("row_id").alias("one"), F.count("*").alias("weight")).where("weight > 1")
+    copies = rows.select("row_id", F.sha2("text", 256).alias("key"))
+    # counts are stored before rows join them: only then can Spark split the rows of a hot key
+    counted = stage(copies.groupBy("key").agg(F.min("row_id").alias("one"), F.count("*").alias("weight")).where("weight > 1"), "counts")
     copies = stage(copies.join(counted, "key").select("row_id", "weight", (F.col("row_id") == F.col("one")).alias("one")), "copies")
 
     found = stage(_anchor_rows(rows, units, length, gram), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("s")).where("s > 1").select("h")
+    twice = stage(found.groupBy("h").agg(F.count("*").alias("s")).where("s > 1").select("h"), "twice")
     marks = found.join(twice, "h").groupBy("row_id").agg(F.collect_list(F.struct("first", "n", "h")).alias("marks"))
     marks = marks.join(copies, "row_id", "left").where("one is null or one").select(
         "row_id", "marks", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
     segments = stage(_segments(rows.select("row_id", "text").join(marks, "row_id"), units, length), "segments")
+    release(found)
+    release(twice)
 
-    kinds = segments.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.first("n").alias("n"), F.first("segment").alias("segment"))
-    kinds = stage(kinds, "kinds")
-    crowds = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(crowds, "h")
+    one = F.min(F.struct("row_id", "first"))
+    kinds_of = stage(segments.groupBy("h", "c").agg(F.sum("weight").alias("weight"), F.first("n").alias("n"), one.alias("one")), "kinds")
+    crowds = stage(kinds_of.groupBy("h").agg(F.count("*").alias("kinds")), "crowds")
+    kinds = kinds_of.join(crowds, "h")
     alone = kinds.where("kinds = 1 and weight > 1").select("h", "c", F.lit(0).alias("a"), (F.col("n") + length - 1).alias("b"))
-    some = _judged(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= crowd)), judge, shard_bytes)
-    many = _by_window(kinds.where(F.col("kinds") > crowd), units, length)
+    # the text of one segment of each kind, where an anchor has several
+    several = kinds.where("kinds > 1").select("one.row_id", "one.first", "h", "c", "kinds", F.col("weight").alias("seen"))
+    shown = stage(segments.select("row_id", "first", "h", "c", "n", "segment").join(several, ["row_id", "first", "h", "c"]).select(
+        "h", "c", "n", F.col("seen").alias("weight"), "segment", "kinds"), "shown")
+    some = _judged(shown.where(F.col("kinds") <= crowd), judge, shard_bytes)
+    many = _by_window(shown.where(F.col("kinds") > crowd), units, length)
     verdicts = alone.unionByName(some).unionByName(many)
     spans = segments.select("row_id", "first", "h", "c").join(verdicts, ["h", "c"]).groupBy("row_id").agg(
         F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("spans"))
     whole = copies.select("row_id", F.lit(True).alias("whole"))
-    found = spans.join(whole, "row_id", "full")
-    return rows.join(found, "row_id", "left").select("text", "others", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    spans = stage(spans.join(whole, "row_id", "full").withColumn("whole", F.coalesce("whole", F.lit(False))), "spans")
+    for done in (segments, kinds_of, crowds, shown, copies):
+        release(done)
+    return rows.join(spans, "row_id", "left").select("text", "others", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
 
 def covered(spans: list | None, whole: bool, n: int, length: int) -> list[tuple[int, int]]:
