@@ -99,7 +99,24 @@ def removed_passages(docs: DataFrame, length: int = LENGTH, text: str = "text",
     return rows.mapInArrow(cut, schema).select(*unbundle(others, "others"), *[F.col("text").alias(text)] * keep_text, *added)
 
 
-@query("op2_substring_dedup")
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT rid, s, array_to_string(w[s:s + 34], ' ') AS t
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 34)) AS s FROM d WHERE len(w) >= 35)),
+again AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY t) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(generate_series(s, s + 34)) AS i FROM again)),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid),
+counted AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN counted USING (rid)
+"""
+
+
+@query("op2_substring_dedup", ORACLE)
 def op2_substring_dedup(spark, sf_dir):
     """Every document without the words of its windows of 35 that occur anywhere else."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

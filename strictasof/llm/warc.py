@@ -222,7 +222,21 @@ def resolved(records: DataFrame) -> DataFrame:
         F.coalesce("_digest", "payload_digest").alias("payload_digest"), "refers_to")
 
 
-@query("op8_warc")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: five hexadecimal digits are four letters of base 32
+_BASE32 = " || ".join(f"substr('{_LETTERS}', (CAST('0x' || substr(h, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER) >> {s} & 31) + 1, 1)"
+                      for s in (15, 10, 5, 0))
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER g AS n, first_value(page_id) OVER g AS first FROM p WINDOW g AS (PARTITION BY h ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: {_BASE32}), '') AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
+FROM r
+"""
+
+
+@query("op8_warc", ORACLE)
 def op8_warc(spark, sf_dir):
     """Every page written as a record and read back by byte ranges."""
     rows = with_roles(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
