@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .ranks import value_ranks
 from ..session import stage_table
 
+#: spread, in parts of the mean, below which equal values differ only by rounding
+VARIES = 1e-12
+
 
 def with_group_stats(df: DataFrame, group: Sequence[str], aggregates: Mapping[str, Column],
                      where: Column | None = None, source: DataFrame | None = None) -> DataFrame:
@@ -68,8 +71,9 @@ def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id
     rows = average_ranks(with_group_stats(df, [group], stats), [group], values)
     out = {}
     for v in values:
-        sd = F.col(f"_sd_{v}")
-        out[f"{v}_z"] = F.when(sd != 0, (F.col(v) - F.col(f"_mean_{v}")) / sd)
+        sd, mean = F.col(f"_sd_{v}"), F.col(f"_mean_{v}")
+        varies = sd > VARIES * F.greatest(F.lit(1.0), F.abs(mean))
+        out[f"{v}_z"] = F.when(varies, (F.col(v) - mean) / sd)
         out[f"{v}_rank"] = F.col(f"{v}_avg_rank") / F.col(size)
     return rows.withColumns(out).drop(*stats, *[f"{v}_avg_rank" for v in values])
 
