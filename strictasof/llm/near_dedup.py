@@ -6,8 +6,11 @@ than ``distance``, any linked pair is within the threshold in some partition. Nu
 chosen by dynamic programming on the probes they cost and the candidates they are expected to bring, from the measured
 bit statistics. The flips of a threshold are shared: a fingerprint is indexed under its bits of a partition with up to
 half of them and probes with up to the other half, so two that are within the threshold meet under some value. Candidates
-are verified on all bits and, where ``verify`` is given, on 128 further bits of independent hashes: those decide about
-similarity when ``distance`` alone would let strangers pass.
+are verified on all bits and, where ``verify`` is given, on 128 further bits of independent hashes.
+
+Similarity itself (:func:`similar`) is decided by the exact Jaccard index of the distinct shingles. The fingerprint and
+the two halves of the further bits are probed as three independent fingerprints; their links only say which documents
+are compared. Documents of one candidate component meet in a task, those of a large one block by block.
 
 Equal fingerprints are one node from the start. A value under which very many fingerprints are indexed is cut into blocks
 whose members meet in separate tasks; a task gives links enough to connect what it found, not all pairs. Components come
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, numbered, release, stage, unbundle, widened
+from .common import bundle, numbered, parts_by_size, release, stage, unbundle, widened
 from .registry import query
 
 WORDS, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -34,6 +37,11 @@ BLOCK = 4096
 PAIRS = 1 << 20
 #: cost of one probe against one verified candidate, in the choice of thresholds
 PROBE_COST = 4.0
+#: most of the 192 bits that candidates for a Jaccard index of 0.8 may differ in: their mean is 29, and 3 in 10 million
+#: pairs at the limit differ in more
+FAR = 56
+#: distinct shingles of the documents that meet in one task
+TOGETHER = 1 << 21
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -44,21 +52,31 @@ def _majority(digests: bytes, width: int) -> bytes:
     return np.packbits(2 * (seen @ _BYTE_BITS).ravel() > len(hashes)).tobytes()  # most significant bit first
 
 
-def sketch(text: str, words: int = WORDS, seed: int = SEED, further: bool = False) -> bytes:
-    """The fingerprint of a text's shingles, 8 bytes, and if asked for 16 further bytes; zeros for a text without words."""
+def shingles(text: str, words: int = WORDS) -> list[bytes]:
+    """A text's runs of ``words`` A-Z lower-cased words in order; a shorter text is one shingle, one without words has none."""
     found = text.encode().lower().split()
     if not found:
-        return bytes(24 if further else 8)
+        return []
     whole = b" ".join(found)
-    shingles = [whole]
-    if len(found) >= words:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[:len(found) - words + 1].tolist()
-        shingles = [whole[a:b] for a, b in zip(starts, ends[words - 1:].tolist())]
+    if len(found) < words:
+        return [whole]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[:len(found) - words + 1].tolist()
+    return [whole[a:b] for a, b in zip(starts, ends[words - 1:].tolist())]
+
+
+def _sketch(found: list[bytes], seed: int, further: bool) -> bytes:
+    if not found:
+        return bytes(24 if further else 8)
     hash_of, other = xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    first = _majority(b"".join([hash_of(s, seed) for s in shingles]), 8)
-    return first + _majority(b"".join([other(s, seed) for s in shingles]), 16) if further else first
+    first = _majority(b"".join([hash_of(s, seed) for s in found]), 8)
+    return first + _majority(b"".join([other(s, seed) for s in found]), 16) if further else first
+
+
+def sketch(text: str, words: int = WORDS, seed: int = SEED, further: bool = False) -> bytes:
+    """The fingerprint of a text's shingles, 8 bytes, and if asked for 16 further bytes; zeros for a text without words."""
+    return _sketch(shingles(text, words), seed, further)
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -352,13 +370,118 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, key).drop("c1", "c2")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+def _hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, sorted."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in shingles(text, words)]), ">u8").astype(np.uint64))
+
+
+def jaccard_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all sets whose Jaccard index is ``least`` or more. Values of a set are distinct.
+
+    A set is compared with those that nothing has reached yet; what it reaches is compared in its turn.
+    """
+    sizes = np.array([len(x) for x in sets])
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    mark, ends = np.zeros(len(distinct), bool), np.cumsum(sizes)
+    open_, out, queue = np.ones(len(sets), bool), [], []
+    left, whose = flat, owner
+    for first in range(len(sets)):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        queue.append(first)
+        while queue:
+            i = queue.pop()
+            mine = flat[ends[i] - sizes[i]:ends[i]]
+            keep = open_[whose]
+            if 2 * keep.sum() < len(keep):  # those already reached need no further look
+                left, whose = left[keep], whose[keep]
+            mark[mine] = True
+            both = np.bincount(whose[mark[left]], minlength=len(sets))
+            mark[mine] = False
+            near = open_ & (both > 0) & (both >= least * (sizes + sizes[i] - both) - 1e-9)
+            for j in np.flatnonzero(near).tolist():
+                out.append((i, j))
+                queue.append(j)
+            open_ &= ~near
+    return out
+
+
+def similar(docs: DataFrame, least: float, text: str = "text", distance: int = DISTANCE, words: int = WORDS, seed: int = SEED,
+            verify: int = FAR, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+    """The columns of ``docs`` without text, with component: rows linked by a Jaccard index of ``least`` or more.
+
+    ``row_id`` of ``docs`` is unique, and a component has that of one of its rows. The index is that of the distinct
+    shingles by 64-bit hashes; equal sets are one node. Candidates are within ``distance`` bits in one of three
+    fingerprints of the distinct shingles, and within ``verify`` of all 192 bits. Texts without words are alike.
+    """
+    kept = [c for c in docs.columns if c not in (text, "component")]
+    bits, digest = ["fp", "c1", "c2"], ["d1", "d2"]
+    schema = widened(docs.select(*kept), ", ".join(f"{c} long" for c in [*bits, *digest]) + ", size int")
+
+    def describe(batches):
+        for batch in batches:
+            table, sizes = [], []
+            for v in batch.column(text):
+                found = sorted(set(shingles(v.as_py() or "", words)))
+                table.append(_sketch(found, seed, True) + xxhash.xxh3_128_digest(b"".join(sorted(xxhash.xxh64_digest(s, seed) for s in found))))
+                sizes.append(len(found))
+            numbers = np.frombuffer(b"".join(table), ">i8").astype(np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c) for c in numbers.T.copy()],
+                                              pa.array(sizes, pa.int32())], schema.names)
+
+    rows = stage(docs.select(*kept, text).mapInArrow(describe, schema), "shingle-sets")
+    nodes = stage(rows.groupBy(*digest, *bits, "size").agg(F.min("row_id").alias("node")), "nodes")
+    found = None
+    for turn in range(3):
+        turned = nodes.select("node", *[F.col(bits[(turn + i) % 3]).alias(c) for i, c in enumerate(bits)])
+        n, counts = bit_statistics(turned)
+        if n:
+            more = links(turned, allocate(n, counts, distance), distance, verify, block)
+            found = more if found is None else found.union(more)
+    if found is None:
+        return rows.select(*kept, F.col("row_id").alias("component"))
+    labels = components(found)
+    sizes = stage(labels.join(nodes.select("node", "size"), "node"), "candidates")
+    blocks = stage(sizes.groupBy("component").agg(F.ceil(F.sum("size") / together).cast("int").alias("blocks")), "blocks")
+    dealt = sizes.join(blocks, "component").select(F.col("node").alias("row_id"), "component", F.greatest("blocks", F.lit(1)).alias("blocks"))
+    texts = docs.select("row_id", text).join(dealt, "row_id")
+
+    def hashed(batches):
+        for batch in batches:
+            for part in parts_by_size(batch, text, 8 << 20):
+                found = [_hashes(v.as_py() or "", words, seed).tobytes() for v in part.column(text)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row_id", "component", "blocks")], pa.array(found, pa.binary())],
+                                                 ["node", "component", "blocks", "hashes"])
+
+    sets = texts.mapInArrow(hashed, "node long, component long, blocks int, hashes binary")
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("home")))
+    sets = sets.withColumn("home", home).withColumn("other", F.explode(others)).select(
+        "component", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "node", "hashes")
+
+    def compare(table):
+        node = table.column("node").to_numpy()
+        pairs = jaccard_links([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()], least)
+        a, b = (node[[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    same = sets.groupBy("component", "lo", "hi").applyInArrow(compare, "a long, b long")
+    linked = components(stage(same.distinct(), "similar")).withColumnRenamed("node", "_node")
+    named = nodes.join(linked, F.col("node") == F.col("_node"), "left").select(*digest, F.coalesce("component", "node").alias("component"))
+    return rows.join(stage(named, "components"), digest).select(*kept, "component")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", jaccard: float | None = None, **settings) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, null ids last, and of equal ids any one.
 
-    Settings are those of :func:`near_duplicates`.
+    Settings are those of :func:`near_duplicates`, or of :func:`similar` where ``jaccard``, the least index, is given.
     """
     rows = numbered(docs, bundle(docs, docs.columns), name="texts")
-    found = near_duplicates(rows.select("row_id", *unbundle([doc_id, text])), text, doc_id, **settings)
+    ids = rows.select("row_id", *unbundle([doc_id, text]))
+    found = near_duplicates(ids, text, doc_id, **settings) if jaccard is None else similar(ids, jaccard, text, **settings)
     first = found.groupBy("component").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), doc_id, "row_id")).alias("f"))
     return rows.join(first.select(F.col("f.row_id").alias("row_id")), "row_id", "left_semi").select(*unbundle(docs.columns))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from strictasof.llm import (decontaminate, histogram_sort, lm_scoring, near_dedup, packing, quality_rules, recur,
                             substring_dedup, suffix_dedup, url_filter, warc)
 
@@ -181,6 +182,70 @@ def test_verified_near_dedup_matches_brute_force(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == set(label)
 
 
+def shingle_set(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i:i + words]) for i in range(len(w) - words + 1)} or ({b" ".join(w)} if w else set())
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def pair_at(name, shared, own):
+    """Two texts of one head: 400 five-word shingles each at most, ``shared`` of them common, so J = shared / (shared + 2 own)."""
+    head = [f"{name}h{i}" for i in range(shared + 4)]
+    return [" ".join(head + [f"{name}{side}{i}" for i in range(own)]) for side in "xy"]
+
+
+@pytest.mark.parametrize("together", [1 << 21, 700])
+def test_similar_decides_by_jaccard(spark, corpus, together):
+    at = {0.75: (300, 50), 0.79: (316, 42), 0.80: (320, 40), 0.85: (340, 30)}
+    texts, pairs = list(corpus), defaultdict(list)
+    for j, (shared, own) in at.items():
+        for k in range(40):
+            pairs[j].append(len(texts))
+            texts += pair_at(f"j{int(j * 100)}k{k}", shared, own)
+    rows = [(i, t, i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id long")
+    got = {r.row_id: r.component for r in near_dedup.similar(docs, 0.8, words=5, distance=11, together=together).collect()}
+    linked = {j: sum(got[i] == got[i + 1] for i in found) for j, found in pairs.items()}
+    assert jaccard(*map(shingle_set, texts[pairs[0.8][0]:pairs[0.8][0] + 2])) == 0.8
+    assert linked[0.75] == linked[0.79] == 0 and linked[0.80] >= 36 and linked[0.85] >= 39
+    sets = [shingle_set(t) for t in texts]
+    small = range(len(corpus))  # a component is never more than the Jaccard links allow
+    label = list(small)
+    for _ in small:
+        for i in small:
+            for j in small:
+                if jaccard(sets[i], sets[j]) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    assert all(label[i] == label[j] for i in small for j in small if got[i] == got[j])
+    assert all(got[i] == got[j] for i in small for j in small if sets[i] == sets[j])
+
+
+def test_jaccard_links_connect_what_is_similar():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 14))).astype(np.uint64) for _ in range(120)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if jaccard(set(x.tolist()), set(y.tolist())) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    a, b = (np.array(c) for c in zip(*near_dedup.jaccard_links(sets, 0.8)))
+    node, low = near_dedup._connect(a, b)
+    got = dict(zip(node.tolist(), low.tolist()))
+    assert [got.get(i, i) for i in range(len(sets))] == label and len(set(label)) < len(sets)
+
+
+def test_pipeline_keeps_one_of_near_copies_at_the_limit(spark):
+    texts = [t for k in range(30) for t in pair_at(f"p{k}", 320, 40) + pair_at(f"q{k}", 300, 50)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert {i for i in range(len(texts)) if i % 4 != 1} <= kept and len([i for i in kept if i % 4 == 1]) <= 3
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_flips_meet_within_the_threshold():
     for width, e in ((6, 0), (6, 1), (6, 2), (7, 3), (7, 4)):
         index, probe = near_dedup._shared(e)
