@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -117,16 +117,21 @@ def _inputs(spark, folder):
     return stage_table(inputs), stage_table(T.pace_target(laps(spark, folder), races))
 
 
+def _span(rows):
+    """First and last date."""
+    return tuple(rows.agg(F.min("date"), F.max("date")).first())
+
+
 @R.query("stage1_fit")
 def _(spark, folder):
     inputs, target = _inputs(spark, folder)
-    return stage_one.predict_pace(stage_one.fit_pace(inputs, target, rounds=5), inputs)
+    return stage_one.predict_pace(stage_one.fit_pace(inputs, target), inputs)
 
 
 @R.query("oof_predictions")
 def _(spark, folder):
     inputs, target = _inputs(spark, folder)
-    oof, _ = stage_one.out_of_fold_pace(inputs, target, date(1995, 1, 1), date(1998, 12, 31), rounds=2)
+    oof, _ = stage_one.out_of_fold_pace(inputs, target, *_span(inputs))
     return oof
 
 
@@ -167,14 +172,14 @@ def training_rows(spark, folder):
 def _(spark, folder):
     rows = training_rows(spark, folder)
     train = F.when(F.col("date") < F.lit(date(2000, 1, 1)), "train").otherwise("valid")
-    fitted = ranker.fit_rankers(rows, FEATURES, {"main": train}, rounds=6, patience=2, member=ID)
+    fitted = ranker.fit_rankers(rows, FEATURES, {"main": train}, member=ID)
     return fitted.table(spark)
 
 
 @R.query("attribution")
 def _(spark, folder):
     rows = training_rows(spark, folder)
-    fitted = ranker.fit_rankers(rows, FEATURES, {"main": F.lit("train")}, rounds=2, member=ID)
+    fitted = ranker.fit_rankers(rows, FEATURES, {"main": F.lit("train")}, member=ID)
     return ranker.drivers(rows, fitted, "main", top_k=3, member=MEMBER)
 
 
@@ -185,7 +190,7 @@ def _(spark, folder):
     races = star.races(spark, folder)
     folds = T.fold_rows(T.make_folds(races, TODAY))
     open_rows = rows.where(~S.sealed(F.col("date"), F.col("grade"), TODAY))
-    valid, oof, _ = ranker.walk_forward(open_rows, FEATURES, folds, F.col("grade") == "G1", rounds=3, patience=1, member=ID)
+    valid, oof, _ = ranker.walk_forward(open_rows, FEATURES, folds, F.col("grade") == "G1", member=ID)
     valid, oof = stage_table(valid), stage_table(oof)
     fitted = [(f["fold_index"], probability.fit_calibrator(oof.where(F.col("fold_index") == f["fold_index"])).temperature) for f in folds]
     temperatures = spark.createDataFrame(fitted, "fold_index long, temperature double")
@@ -204,13 +209,14 @@ def _(spark, folder):
 
 @R.query("mixed_effects")
 def _(spark, folder):
-    return effects.fit_effects(entries(spark, folder), date(2001, 8, 2), max_iter=3).horse_effects
+    return effects.fit_effects(entries(spark, folder), date(2001, 8, 2)).horse_effects
 
 
 @R.query("effect_series")
 def _(spark, folder):
     rows = stage_table(entries(spark, folder))
-    return effects.cross_fit_effects(rows, date(1995, 1, 1), date(1997, 12, 31), date(1998, 1, 1), n_blocks=2, max_iter=1)
+    first, last = _span(rows)
+    return effects.cross_fit_effects(rows, first, last, last + timedelta(days=1))
 
 
 @R.query("largest_component", """
@@ -224,6 +230,16 @@ def _(spark, folder):
 
 # --- the full matrix ----------------------------------------------------------------------------------------------
 
+def whole_matrix(spark, folder):
+    return matrix.feature_matrix(star.event_tables(spark, folder), as_of=date(2002, 1, 1), min_session_n=MIN_SESSION_N, keep=("owner_id", "number"))
+
+
+@R.query("feature_matrix_whole")
+def _(spark, folder):
+    """The matrix with all of its columns; ``feature_matrix`` compares those that SQL states."""
+    return whole_matrix(spark, folder)
+
+
 @R.query("feature_matrix", FULL + f"""
     , v AS (SELECT *, COALESCE(sum(perf) OVER m / NULLIF(count(perf) OVER m, 0), 0.5) AS mu, sum(perf) OVER h AS s, count(perf) OVER h AS k,
                    count(finish_pos) OVER w AS n, count(*) FILTER (WHERE finish_pos = 1) OVER w AS w1
@@ -235,7 +251,7 @@ def _(spark, folder):
            CASE WHEN month(date) IN (3,4,5) THEN '春' WHEN month(date) IN (6,7,8) THEN '夏' WHEN month(date) IN (9,10,11) THEN '秋' ELSE '冬' END AS f803_season
     FROM rel""")
 def _(spark, folder):
-    out = matrix.feature_matrix(star.event_tables(spark, folder), as_of=date(2002, 1, 1), min_session_n=MIN_SESSION_N, keep=("owner_id", "number"))
+    out = whole_matrix(spark, folder)
     return out.select(*ID, r6("f802"), r6("f802_z", digits=4), r6("f809_win_rate"), "f803_season")
 
 
