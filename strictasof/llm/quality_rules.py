@@ -157,7 +157,11 @@ def prepared_labels(labels: DataFrame) -> DataFrame:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR, stratum: str = "lang") -> DataFrame:
-    """(_stratum, _step_<rule> ...): the certified step of each rule, null where none is. Strata are languages."""
+    """(_stratum, _step_<rule> ...): the certified step of each rule, null where none is. Strata are languages.
+
+    The row of null _stratum is the shared stratum's, for languages that the holdout does not have; without languages
+    that share it there is none.
+    """
     least = math.ceil(math.log(error / (50 * len(RULES))) / math.log1p(-limit))
     held = labels.where("not fit").drop("fit")
     seen = scored.select("doc_id", F.coalesce(stratum, F.lit("")).alias("_stratum"), *[_step(r).alias(r) for r in RULES]).join(held, "doc_id")
@@ -183,7 +187,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, limit: float = LIMIT, error: f
         return pd.DataFrame([out]).astype({n: "Int32" for n in names})
 
     chosen = long.groupBy("_into").applyInPandas(choose, "_into string, " + ", ".join(f"{n} int" for n in names))
-    return stage(size.join(chosen, "_into").drop("_into"), "cutoffs")
+    places = size.union(size.where("_into = ''").select(F.lit(None).cast("string"), "_into").distinct())
+    return stage(places.join(chosen, "_into").drop("_into"), "cutoffs")
 
 
 def judged(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR, keep_text: bool = False) -> DataFrame:
@@ -196,8 +201,10 @@ def judged(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: floa
     docs = docs.drop("base_failed", "rejected_by", "kept")
     scored = stage(scores(docs, toxic_words(docs, marks), keep_text=keep_text), "scored")
     chosen = cutoffs(scored, marks, limit, error)
-    rows = scored.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(chosen, "_stratum", "left")
-    hit = F.array_compact(F.array(*[F.when(_step(r) >= F.col(f"_step_{r}"), F.lit(r)) for r in RULES]))
+    shared = chosen.where("_stratum is null").first()
+    rows = scored.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(chosen.withColumn("_own", F.lit(True)), "_stratum", "left")
+    least = {r: F.when(F.col("_own"), F.col(f"_step_{r}")).otherwise(F.lit(shared and shared[f"_step_{r}"]).cast("int")) for r in RULES}
+    hit = F.array_compact(F.array(*[F.when(_step(r) >= least[r], F.lit(r)) for r in RULES]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(*[c for c in scored.columns if c not in RULES], failed.alias("base_failed"), hit.alias("rejected_by"),
                        (~failed & (F.size(hit) == 0)).alias("kept"))

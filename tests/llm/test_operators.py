@@ -393,6 +393,19 @@ def test_quality_rules_end_to_end(spark):
     assert {r.doc_id for r in bare.where("kept").collect()} == {r[0] for r in rows if r[1] and len(r[1].split()) >= 50}
 
 
+def test_unlabelled_language_takes_the_shared_cutoffs(spark):
+    rng = random.Random(8)
+    text = lambda bad: " ".join(f"word{rng.randrange(3000)}" + "%%%" * bad for _ in range(60))
+    rows = [(i, text(i % 6 == 5), "en" if i % 7 > 1 else None) for i in range(4200)]
+    labels = frame(spark, [(r[0], int(r[0] % 6 != 5), 0) for r in rows], "doc_id long, quality int, toxic int")
+    rows += [(5000 + i, text(i % 2 == 1), "xx") for i in range(20)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected_by for r in quality_rules.judged(docs, labels).where("lang = 'xx'").collect()}
+    assert len(got) == 20 and all(bool(why) == (i % 2 == 1) for i, why in got.items())
+    alone = quality_rules.judged(docs.where("lang is not null"), labels)  # no language shares a stratum
+    assert {(r.lang, bool(r.rejected_by)) for r in alone.collect()} == {("en", True), ("en", False), ("xx", False)}
+
+
 def test_lm_scores(spark):
     rng = random.Random(6)
     rows = []
