@@ -103,7 +103,7 @@ class _Side:
 
 
 class WordIndex:
-    """A bidirectional FM-index over distinct words: delimiter (symbol 0), word, delimiter, word, ..., delimiter.
+    """A bidirectional FM-index over distinct words, none empty: delimiter (symbol 0), word, delimiter, word, ..., delimiter.
 
     A state is three arrays: interval start among the suffixes, interval start among the reversed prefixes, size.
     Extending a state to either side keeps both intervals in step.
@@ -112,7 +112,7 @@ class WordIndex:
     def __init__(self, words: list[str]):
         points = np.frombuffer("\0".join(["", *words, ""]).encode("utf-32-le"), "<u4")
         self.alphabet, symbols = np.unique(points, return_inverse=True)
-        self.size = len(symbols)
+        self.size, self.words = len(symbols), len(words)
         self.forward = _Side(symbols, len(self.alphabet))
         self.backward = _Side(symbols[::-1], len(self.alphabet))
         self.word_at = np.cumsum(symbols == 0) - 1  # of the delimiter before a word: the word's number
@@ -185,7 +185,9 @@ class WordIndex:
             at_end = wrong_place == lengths[wrong]
             after = self.extend(wrong_state, np.where(at_end, 0, letters[wrong, wrong_place]), right)
             hit, on = at_end & (after[2] > 0), ~at_end & (after[2] > 0)
-            found.append((wrong[hit], self.word_at[self.forward.order[after[0][hit]]]))  # distinct words: intervals of size 1
+            word = self.word_at[self.forward.order[after[0][hit]]]  # words differ, so the interval holds one
+            held = word < self.words  # the last delimiter and, read as a circle, the first hold no word
+            found.append((wrong[hit][held], word[held]))
             parent, letter, branched = self.branch(state, right)
             here, following = letters[ask, place], letters[ask, np.minimum(place + 1, lengths[ask])]
             inside = place < lengths[ask]
@@ -306,7 +308,7 @@ def _found(words: DataFrame, first_half: bool, symbols: int, asked: int) -> Data
 
 def near_words(words: DataFrame, symbols: int = SHARD_SYMBOLS, asked: int = ASKED) -> DataFrame:
     """(word, near, near_n): all ordered pairs of words (word, n) that differ by exactly one inserted, deleted or replaced
-    code point, each once. Words are distinct, not null and hold no NUL."""
+    code point, each once. Words are distinct, neither null nor empty, and hold no NUL."""
     return _found(words, True, symbols, asked).unionByName(_found(words, False, symbols, asked))
 
 
