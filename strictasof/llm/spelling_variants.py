@@ -303,7 +303,10 @@ def _found(words: DataFrame, first_half: bool, symbols: int, asked: int) -> Data
         keeps = [v.startswith(w[:len(w) // 2]) for w, v in zip(pairs.column("word").to_pylist(), pairs.column("near").to_pylist())]
         return pairs.filter(pa.compute.invert(pa.array(keeps, pa.bool_())))
 
-    return held.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(search, "word string, near string, near_n long")
+    # a search costs far more than its few bytes: as many partitions as there are searches, not as few as their bytes fill
+    searches = max(shuffle_partitions(words.sparkSession), sum(parts.values()))
+    held, dealt = (side.repartition(searches, "shard", "part").groupBy("shard", "part") for side in (held, dealt))
+    return held.cogroup(dealt).applyInArrow(search, "word string, near string, near_n long")
 
 
 def near_words(words: DataFrame, symbols: int = SHARD_SYMBOLS, asked: int = ASKED) -> DataFrame:
