@@ -459,7 +459,7 @@ def _(spark, folder):
     SELECT {IDS}, {rnd('CASE WHEN sd <> 0 THEN (last_3f - a) / sd END')} AS last_3f_z,
            {rnd('CASE WHEN last_3f IS NOT NULL THEN rk / n_starters END')} AS last_3f_rank FROM m""")
 def _(spark, folder):
-    rows = G.relativize(entries(spark, folder), "last_3f")
+    rows = G.relativize(entries(spark, folder), "last_3f", raw=True)
     return rows.select(*ID, r6("last_3f_z"), r6("last_3f_rank"))
 
 

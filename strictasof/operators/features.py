@@ -72,7 +72,7 @@ def with_last_3f_rank(entries: DataFrame) -> DataFrame:
     """In-event rank ratio of the final-600m time, over the rows where it is recorded."""
     if "last_3f_rank" in entries.columns:
         return entries
-    return relativize(entries, "last_3f").drop("last_3f_z")
+    return relativize(entries, "last_3f", raw=True).drop("last_3f_z")
 
 
 def previous_result(exclude_relegated: bool = False) -> KeyedFeature:

@@ -1,7 +1,7 @@
 """Operators inside a group: shares, z-scores, ranks, quantiles and top-k.
 
 Sums and extremes of a group are aggregated first and joined back, so a group may be of any size. Ranks and quantiles
-count values: equal values once, in balanced sorted ranges (:func:`value_ranks`), whatever the size of the group.
+are read off balanced sorted ranges (:mod:`.ranks`), whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import value_ranks
+from .ranks import average_positions, value_ranks
 from ..session import stage_table
 
 #: spread, in parts of the mean, below which equal values differ only by rounding
@@ -43,32 +43,42 @@ def leave_one_out(df: DataFrame, group: Sequence[str], own: Sequence[str], value
     return df.join(others, [*group, *own], "left")
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank") -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str], suffix: str = "_avg_rank", raw: bool = False) -> DataFrame:
     """Add the average rank (ties share it, null has none) of each numeric column inside its group.
 
-    All columns are ranked in one pass over (group, column, value); the ranks of a row come back together.
+    All columns are ranked in one pass over (group, column, value, row); the ranks of a row come back together. The frame
+    is stored for that, so select what is needed first. ``raw`` says that the values are read, not computed: then they are
+    the same whenever they are read, so ranks come back by value and only the values are stored.
     """
     group, values = list(group), list(values)
-    rows = stage_table(df.withColumn("_row", F.monotonically_increasing_id()))
     cell = lambda i, v: F.struct(F.lit(i).alias("_column"), F.col(v).cast("double").alias("_value"))
-    cells = rows.select("_row", *group, F.inline(F.array(*[cell(i, v) for i, v in enumerate(values)]))).where(F.col("_value").isNotNull())
-    ranks = value_ranks(cells, [*group, "_column"], "_value").select(
-        *group, "_column", "_value", (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rank"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*group, "_column", "_value"]]
-    found = cells.alias("c").join(ranks.alias("r"), reduce(and_, same)).groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("c._column", "_rank"))).alias("_ranks"))
+    melted = F.inline(F.array(*[cell(i, v) for i, v in enumerate(values)]))
+    if raw:
+        cells = df.select(*group, melted).where(F.col("_value").isNotNull())
+        ranks = value_ranks(cells, [*group, "_column"], "_value").withColumn("_rank", F.col("n_below") + (F.col("n_equal") + 1) / 2)
+        for i, v in enumerate(values):
+            mine = ranks.where(F.col("_column") == i).select(*[F.col(g).alias(f"_of_{g}") for g in group], "_value", F.col("_rank").alias(f"{v}{suffix}"))
+            same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group], F.col(v).cast("double") == F.col("_value"))
+            df = df.join(mine, same, "left").drop("_value", *[f"_of_{g}" for g in group])
+        return df
+    rows = stage_table(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = rows.select("_row", *group, melted).where(F.col("_value").isNotNull())
+    ranks = average_positions(cells, [*group, "_column"], "_value", "_row")
+    found = ranks.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_column", "_rank"))).alias("_ranks"))
     rows = rows.join(found, "_row", "left")
     return rows.withColumns({f"{v}{suffix}": F.try_element_at("_ranks", F.lit(i)) for i, v in enumerate(values)}).drop("_row", "_ranks")
 
 
-def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id", size: str = "n_starters") -> DataFrame:
-    """Add ``<value>_z`` (null where the group does not vary) and ``<value>_rank`` (average rank / size)."""
+def relativize(df: DataFrame, values: Sequence[str] | str, group: str = "race_id", size: str = "n_starters", raw: bool = False) -> DataFrame:
+    """Add ``<value>_z`` (null where the group does not vary) and ``<value>_rank`` (average rank / size).
+
+    ``raw``: the values are read, not computed (see :func:`average_ranks`)."""
     values = [values] if isinstance(values, str) else list(values)
     stats = {}
     for v in values:
         stats[f"_mean_{v}"] = F.avg(v)
         stats[f"_sd_{v}"] = F.stddev_samp(v)
-    rows = average_ranks(with_group_stats(df, [group], stats), [group], values)
+    rows = average_ranks(with_group_stats(df, [group], stats), [group], values, raw=raw)
     out = {}
     for v in values:
         sd, mean = F.col(f"_sd_{v}"), F.col(f"_mean_{v}")

@@ -17,9 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import value_ranks
+from .order_statistics import prior_quantile
 from ..functions.scalars import all_of
-from ..session import release, stage_table
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -156,9 +155,6 @@ def mean_of_array(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
-_RADIX_BITS = 4
-
-
 def with_prior_quantile(
     df: DataFrame,
     keys: Sequence[str],
@@ -168,57 +164,11 @@ def with_prior_quantile(
     out: str,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the interpolated ``q`` quantile of the key's strictly earlier values.
-
-    The ranked values are walked down sixteen branches at a time with running counts: every step is a
-    :func:`with_prior` pass, exact and free of per-key lists. There are as many steps as the longest history has
-    hexadecimal digits.
-    """
+    """Add the interpolated ``q`` quantile of the key's strictly earlier values (see :mod:`.order_statistics`)."""
     keys = list(keys)
     known = all_of(F.col(c).isNotNull() for c in [*keys, order])
     source = df if source is None else source
     probes = source.where(known).select(*keys, order).distinct()
     facts = source.where(known).select(*keys, order, value.alias("_value")).where(F.col("_value").isNotNull())
-    found = _descended_quantile(probes, facts, keys, order, q)
+    found = prior_quantile(probes, facts, keys, order, q)
     return df.join(found.withColumnRenamed("_quantile", out), [*keys, order], "left")
-
-
-def _descended_quantile(probes, facts, keys, order, q):
-    # each level reads the coded facts and its own targets more than once, so both are stored
-    ranks = stage_table(value_ranks(facts, keys, "_value").select(*keys, "_value", F.col("n_below").alias("_code")))
-    coded = stage_table(facts.join(ranks, [*keys, "_value"]).select(*keys, order, "_code"))
-    largest = ranks.agg(F.max("_code").alias("n")).first()["n"] or 0
-    levels = max(1, -(-largest.bit_length() // _RADIX_BITS))
-    rank = F.lit(q) * (F.col("_n") - 1)
-    sought = with_prior(probes, keys, order, {"_n": running_count()}, facts=coded).where(F.col("_n") > 0)
-    sought = sought.select(
-        *keys, order, (rank - F.floor(rank)).alias("_fraction"),
-        F.explode(F.array(
-            F.struct(F.lit("lo").alias("side"), F.floor(rank).alias("k")),
-            F.struct(F.lit("hi").alias("side"), F.ceil(rank).alias("k")),
-        )).alias("_end"),
-        F.lit(0).cast("long").alias("_node"),
-    ).select(*keys, order, "_fraction", "_node", F.col("_end.side").alias("_side"), F.col("_end.k").alias("_k"))
-    stored = stage_table(sought)
-    digits = range(1 << _RADIX_BITS)
-    for level in reversed(range(levels)):
-        shift = level * _RADIX_BITS
-        here = coded.withColumn("_node", F.shiftright("_code", shift + _RADIX_BITS)) if level < levels - 1 \
-            else coded.withColumn("_node", F.lit(0).cast("long"))
-        digit = F.shiftright("_code", shift).bitwiseAND(F.lit((1 << _RADIX_BITS) - 1))
-        counts = {f"_c{d}": running_count(digit == d) for d in digits}
-        sought = with_prior(stored, [*keys, "_node"], order, counts, facts=here)
-        # the branch that holds rank k is the first whose running total passes it
-        totals = [sum((F.col(f"_c{i}") for i in range(d + 1)), F.lit(0)) for d in digits]
-        passed = F.array(*[t <= F.col("_k") for t in totals])
-        chosen = F.size(F.filter(passed, lambda p: p))
-        before = F.when(chosen > 0, F.element_at(F.array(*totals), F.greatest(chosen, F.lit(1)))).otherwise(F.lit(0))
-        last, stored = stored, stage_table(sought.select(
-            *keys, order, "_fraction", "_side", (F.col("_k") - before).alias("_k"),
-            (F.shiftleft("_node", _RADIX_BITS) + chosen).cast("long").alias("_node")))
-        release(last)
-    values = stored.withColumnRenamed("_node", "_code").join(ranks, [*keys, "_code"])
-    low = F.max(F.when(F.col("_side") == "lo", F.col("_value")))
-    high = F.max(F.when(F.col("_side") == "hi", F.col("_value")))
-    fraction = F.max("_fraction")
-    return values.groupBy(*keys, order).agg((low + (high - low) * fraction).alias("_quantile"))

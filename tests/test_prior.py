@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strictasof.operators import prior as P
 from strictasof.operators.grouped import average_ranks, group_quantiles, leave_one_out, relativize
-from strictasof.operators.ranks import sorted_positions, value_ranks
+from strictasof.operators.order_statistics import prior_quantile
+from strictasof.operators.ranks import average_positions, sorted_positions, value_ranks
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +97,36 @@ def test_prior_quantile(facts, q):
         assert out[row.id] == (pytest.approx(np.quantile(values, q)) if len(values) else None)
 
 
+@pytest.mark.parametrize("bits", [(1, 1), (2, 1), (3, 2)])
+@pytest.mark.parametrize("q", [0.0, 0.3, 1.0])
+def test_prior_quantile_through_levels(spark, bits, q):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(d), float(v)) for k, n in ((1, 300), (2, 40), (3, 5), (4, 1))
+            for d, v in zip(rng.integers(0, 30, n), rng.integers(0, n // 2 + 1, n))]
+    df = spark.createDataFrame(rows, "k int, d int, _value double").repartition(3)
+    probes = spark.createDataFrame([(k, d) for k in range(1, 6) for d in range(32)], "k int, d int")
+    got = {(r.k, r.d): r._quantile for r in prior_quantile(probes, df, ["k"], "d", q, *bits).collect()}
+    want = {}
+    for k in range(1, 5):
+        for d in range(32):
+            values = [v for a, b, v in rows if a == k and b < d]
+            if values:
+                want[k, d] = pytest.approx(np.quantile(values, q))
+    assert got == want
+
+
+def test_quantiles_of_sums_in_any_order(spark):
+    """Facts whose last bit depends on the order of summation are counted once, so none is lost."""
+    parts = spark.range(4000).selectExpr("id % 400 as fact", "id % 7 as k", "(id * 0.1 + 1) / (id + 3) * 1e6 as x")
+    facts = parts.repartition(7).groupBy("fact").agg(F.first("k").alias("k0"), F.sum("x").alias("v"))
+    rows = facts.selectExpr("fact % 3 as k", "fact as d", "v")
+    out = P.with_prior_quantile(rows, ["k"], "d", F.col("v"), 0.5, "q").collect()
+    assert len(out) == 400 and sum(r.q is None for r in out) == 3
+    for r in out:
+        values = [o.v for o in out if o.k == r.k and o.d < r.d]
+        assert r.q is None if not values else r.q == pytest.approx(np.median(values))
+
+
 def test_asof_attach_takes_the_newest_strictly_earlier_version(spark):
     rows = spark.createDataFrame([(1, date(2020, 1, 5)), (1, date(2020, 1, 3)), (2, date(2020, 1, 5))], "horse_id long, date date")
     versions = spark.createDataFrame([(1, date(2020, 1, 1), 0.1), (1, date(2020, 1, 3), 0.3), (1, date(2020, 1, 5), 0.5)],
@@ -120,13 +151,26 @@ def test_sorted_positions_of_texts(spark):
     assert got == {w: i for i, w in enumerate(words)}
 
 
-def test_average_ranks(facts):
+@pytest.mark.parametrize("raw", [False, True])
+def test_average_ranks(facts, raw):
     pdf, df = facts
-    out = {r["id"]: r["v_avg_rank"] for r in average_ranks(df.where("k is not null"), ["k"], ["v"]).collect()}
+    out = {r["id"]: r["v_avg_rank"] for r in average_ranks(df.where("k is not null"), ["k"], ["v"], raw=raw).collect()}
     expected = pdf.dropna(subset=["k"]).assign(r=lambda x: x.groupby("k").v.rank(method="average"))
     assert all(out[r.id] == (None if pd.isna(r.r) else r.r) for r in expected.itertuples())
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 5, 40])
+def test_average_positions_across_ranges(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    rows = [(None if g == 2 else int(g), float("nan") if v == 9 else float(v), i)
+            for i, (g, v) in enumerate(zip(rng.choice(4, 300, p=[.6, .2, .1, .1]), rng.choice([0, 0, 0, 0, 1, 2, 3, 9], 300)))]
+    df = spark.createDataFrame(rows, "g int, v double, id long").repartition(3)
+    got = {r.id: r._rank for r in average_positions(df, ["g"], "v", "id", ranges).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "v", "id"]).fillna({"g": -1, "v": 1e9})
+    frame["rank"] = frame.groupby("g").v.rank(method="average")
+    assert got == dict(zip(frame.id, frame["rank"]))
+
+
 def test_group_quantiles(facts):
     pdf, df = facts
     out = {r["k"]: (r["q"], r["n"]) for r in group_quantiles(
