@@ -41,7 +41,7 @@ PROBE_COST = 4.0
 #: pairs at the limit differ in more
 FAR = 56
 #: distinct shingles of the documents that meet in one task
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -265,7 +265,7 @@ def links(nodes: DataFrame, chosen: list[tuple[list[int], int]], distance: int =
     owners = rows.where("role = 0").groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = stage(owners.select("part", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-values")
     rows = rows.join(hot, ["part", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    home = F.pmod(F.xxhash64(carried[0]), F.col("blocks")).cast("int")
+    home = F.pmod(F.xxhash64(*carried), F.col("blocks")).cast("int")
     rows = rows.select("part", "value", "role", *carried, home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"))
     rows = rows.withColumn("role", F.when((F.col("role") == 0) & (F.col("home") == F.col("sub")), 0).otherwise(1).cast("byte"))
     keys = ["part", "value", "sub"]
@@ -433,18 +433,22 @@ def similar(docs: DataFrame, least: float, text: str = "text", distance: int = D
 
     rows = stage(docs.select(*kept, text).mapInArrow(describe, schema), "shingle-sets")
     nodes = stage(rows.groupBy(*digest, *bits, "size").agg(F.min("row_id").alias("node")), "nodes")
-    found = None
-    for turn in range(3):
-        turned = nodes.select("node", *[F.col(bits[(turn + i) % 3]).alias(c) for i, c in enumerate(bits)])
-        n, counts = bit_statistics(turned)
-        if n:
-            more = links(turned, allocate(n, counts, distance), distance, verify, block)
-            found = more if found is None else found.union(more)
-    if found is None:
-        return rows.select(*kept, F.col("row_id").alias("component"))
-    labels = components(found)
-    sizes = stage(labels.join(nodes.select("node", "size"), "node"), "candidates")
-    blocks = stage(sizes.groupBy("component").agg(F.ceil(F.sum("size") / together).cast("int").alias("blocks")), "blocks")
+    # Each round knows the components of those before it: a pair inside one is no link any more, so a group of copies is
+    # linked once and not again under every value it meets under. The first round asks for equal bits of a part only.
+    known = stage(nodes.select("node", F.col("node").alias("component")), "known")
+    for turn, exact in ((0, True), (0, False), (1, False), (2, False)):
+        order = [bits[(turn + i) % 3] for i in range(3)]
+        n, counts = bit_statistics(nodes.select(F.col(order[0]).alias("fp")))
+        if not n:
+            return rows.select(*kept, F.col("row_id").alias("component"))
+        chosen = [(part, 0 if exact else e) for part, e in allocate(n, counts, distance)]
+        turned = nodes.join(known, "node").select(F.col("component").alias("node"), *[F.col(b).alias(c) for b, c in zip(order, bits)])
+        joined = components(links(turned, chosen, distance, verify, block)).toDF("component", "least")
+        last, known = known, stage(known.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "known")
+        release(last)
+    sizes = stage(known.join(nodes.select("node", "size"), "node"), "candidates")
+    blocks = stage(sizes.groupBy("component").agg(F.ceil(F.sum("size") / together).cast("int").alias("blocks"), F.count("*").alias("n"))
+                   .where("n > 1").drop("n"), "blocks")
     dealt = sizes.join(blocks, "component").select(F.col("node").alias("row_id"), "component", F.greatest("blocks", F.lit(1)).alias("blocks"))
     texts = docs.select("row_id", text).join(dealt, "row_id")
 
