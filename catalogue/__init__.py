@@ -1,5 +1,5 @@
 """Registered queries: every operator bound to the star-schema tables."""
 
-from . import chances, history, loading, quality, training
+from . import chances, extraction, history, loading, quality, training
 
-MODULES = (history, quality, chances, loading, training)
+MODULES = (history, quality, chances, loading, extraction, training)
