@@ -201,8 +201,8 @@ def _(spark, folder):
 def _(spark, folder):
     for name in ("customer", "nation"):
         star.table(spark, folder, name).createOrReplaceTempView(name)
-    full = spark.sql("SELECT n_name AS nation, round(sum(c_acctbal), 2) AS revenue FROM customer JOIN nation ON n_nationkey = c_nationkey "
-                     "GROUP BY 1 ORDER BY revenue DESC, nation")
+    full = K.read_only(spark, "SELECT n_name AS nation, round(sum(c_acctbal), 2) AS revenue FROM customer JOIN nation ON n_nationkey = c_nationkey "
+                              "GROUP BY 1 ORDER BY revenue DESC, nation")
     rows, truncated = K.limited(full, 5)
     return rows.withColumn("truncated", F.lit(truncated))
 

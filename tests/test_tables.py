@@ -196,3 +196,21 @@ def test_the_flagship_query_runs(spark):
     import __spark_entry__ as entry
     out = entry.entry(spark)
     assert out.columns == ["race_id", "horse_id", "owner_id", "number", "f704", "f704_unavailable"] and out.count() > 5000
+
+
+@pytest.mark.parametrize("text", ["SELECT 1 AS a", "WITH t AS (SELECT 1 AS a) SELECT * FROM t -- INSERT", "VALUES (1) AS t(a)",
+                                  "SELECT a FROM (SELECT 1 AS a) WHERE a IN (SELECT 1)", "SELECT 'drop table x; set a = 1' = '' OR true AS a"])
+def test_queries_pass_the_gate(spark, text):
+    assert K.read_only(spark, text).count() == 1
+
+
+@pytest.mark.parametrize("text", [
+    "CREATE TABLE gate_t (a INT) USING parquet", "CREATE TEMP VIEW gate_v AS SELECT 1 AS a", "DROP TABLE IF EXISTS gate_t", "SET spark.sql.ansi.enabled = false",
+    "INSERT INTO gate_t SELECT 1", "WITH t AS (SELECT 1 AS a) INSERT INTO gate_t SELECT * FROM t", "TRUNCATE TABLE gate_t", "/* SELECT */ CACHE TABLE gate_t",
+    "FROM (SELECT 1 AS a) INSERT INTO gate_t SELECT a", "INSERT OVERWRITE DIRECTORY '/tmp/gate' USING parquet SELECT 1", "EXPLAIN SELECT 1", "USE default",
+    "ADD JAR x", "DELETE FROM gate_t", "UPDATE gate_t SET a = 1", "MERGE INTO gate_t USING gate_v ON true WHEN MATCHED THEN DELETE", "RESET"])
+def test_what_changes_something_is_refused(spark, text):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    with pytest.raises(K.NotAQuery):
+        K.read_only(spark, text)
+    assert not spark.catalog.tableExists("gate_t") and spark.conf.get("spark.sql.ansi.enabled") == before
