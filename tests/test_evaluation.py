@@ -3,7 +3,7 @@
 import itertools
 import math
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strictasof.functions import vocabulary as V
 from strictasof.operators import components, effects
 from strictasof.operators.keys import require_disjoint
-from strictasof.plans import bootstrap, evaluate as E, folds as T, probability as P, ranker as R
+from strictasof.plans import bootstrap, evaluate as E, folds as T, probability as P, ranker as R, stage_one
 from strictasof.sources import prediction_log as L
 from tests.conftest import D, RACE, RUNNER, race, rows_of, runner
 
@@ -279,3 +279,25 @@ def test_prediction_log_round_trip(spark, tmp_path):
     assert sorted((r["race_id"], r["agent"], r["reason"]) for r in rejected.collect()) == [
         (1, "b", "outcome already known"), (2, "a", "already logged"), (2, "b", "bet type not logged"), (2, "c", "wrong number of entries"),
         (2, "d", "no picks"), (2, "e", "stake not positive"), (3, "a", "already logged")]
+
+
+def pace_inputs(spark, n):
+    numbers = ", ".join(f"{c} double" for c in stage_one.NUMERIC)
+    words = ", ".join(f"{c} string" for c in stage_one.CATEGORICAL)
+    rows = [(i, date(2020, 1, 1) + timedelta(days=i), *[float(i % (k + 2)) for k in range(len(stage_one.NUMERIC))],
+             *[f"{c}{i % 40}" for c in stage_one.CATEGORICAL]) for i in range(n)]
+    return spark.createDataFrame(rows, f"race_id long, date date, {numbers}, {words}")
+
+
+def test_first_stage_takes_forty_courses(spark):
+    inputs = pace_inputs(spark, 80)
+    target = inputs.select("race_id", F.col("distance").alias("f102_actual"))
+    model = stage_one.fit_pace(inputs, target, rounds=1)
+    assert model.stages[-1].getMaxBins() == 41
+    assert stage_one.predict_pace(model, inputs).where("f102 is not null").count() == 80
+
+
+def test_first_stage_without_a_block_to_fit(spark):
+    inputs, none = pace_inputs(spark, 20), spark.createDataFrame([], "race_id long, f102_actual double")
+    pace, model = stage_one.out_of_fold_pace(inputs, none, date(2020, 1, 1), date(2020, 12, 31))
+    assert pace.count() == 0 and dict(pace.dtypes) == {"race_id": "bigint", "f102": "double"} and model is None
