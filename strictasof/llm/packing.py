@@ -45,7 +45,8 @@ class Encoder:
     """Byte-level BPE ids of whole texts.
 
     No pre-token spans the start of a run of white space, nor the space before a non-space, so a text may be cut at its
-    spaces unless one stands between two other white-space characters; such a text is encoded whole.
+    spaces unless one stands between two other white-space characters; such a text is encoded whole, and so is one that
+    holds a token which the tokenizer adds to its model, such as an end mark: the tokenizer takes those out first.
     """
 
     ODD = re.compile(r"\s \s")
@@ -58,12 +59,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"]
         if split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix space is expected")
         self.pieces, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.whole = re.compile("|".join([self.ODD.pattern, *added])).search
         self.letters = self._letters()
         self.words = _Chunks(self._word, "")
         self.first, self.later = _Chunks(self._chunk, ""), _Chunks(self._chunk, " ")
@@ -83,7 +85,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, self.pieces(chunk)))
 
     def __call__(self, text: str) -> bytes:
-        if self.ODD.search(text):
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for known in (self.words, self.first, self.later):
             if len(known) > REMEMBERED:
