@@ -317,8 +317,14 @@ def _(spark, folder):
     return out.select("population", "n_races", r6("model_log_loss"), r6("market_log_loss"), "passes")
 
 
+#: a model of two inputs, whose effect is that of leaving the second one out
+TWO_INPUTS = ranker.Rankers(("score", "weight_carried"), {"main": [1.0, 0.1]}, {"main": 1}, {})
+
+
 @R.query("ablation", MODEL + SCORED + f"""
-    , s2 AS (SELECT *, CASE WHEN score > 5 THEN 0.0 ELSE score END AS other FROM scored),
+    , s2 AS (SELECT l_orderkey AS race_id, l_linenumber AS number, l_extendedprice / 10000 + 0.1 * (50 + l_discount * 100) AS score,
+                    l_extendedprice / 10000 AS other, CASE WHEN status IN ('出走', '降着') AND l_linenumber = 1 THEN 3 ELSE 0 END AS label
+             FROM raw_runners WHERE status <> '出走取消'),
     s AS (SELECT *, exp(score) / sum(exp(score)) OVER w AS p, exp(other) / sum(exp(other)) OVER w AS q,
                  CASE WHEN label = 3 THEN 1.0 / count(*) FILTER (WHERE label = 3) OVER w ELSE 0 END AS y FROM s2 WINDOW w AS (PARTITION BY race_id)),
     g AS (SELECT race_id, -sum(CASE WHEN y > 0 THEN y * ln(p) ELSE 0 END) AS a, -sum(CASE WHEN y > 0 THEN y * ln(q) ELSE 0 END) AS b FROM s GROUP BY 1),
@@ -329,7 +335,7 @@ def _(spark, folder):
     FROM g JOIN ta USING (race_id) JOIN tb USING (race_id)""")
 def _(spark, folder):
     rows = ranker.labelled_truth(scored(spark, folder), "y").withColumns({
-        "score_without": F.when(F.col("score") > 5, F.lit(0.0)).otherwise(F.col("score")), "horse_id": F.col("number")})
+        "score": TWO_INPUTS.score("main"), "score_without": TWO_INPUTS.score("main", without=("weight_carried",)), "horse_id": F.col("number")})
     return E.ablation(rows).select("n_races", r6("log_loss"), r6("log_loss_without"), r6("effect"), r6("top_changed"))
 
 

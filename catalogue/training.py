@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strictasof.bindings import star
@@ -11,8 +13,9 @@ from strictasof.functions import scalars as S
 from strictasof.operators import components, effects
 from strictasof.operators import features as X
 from strictasof.plans import folds as T
-from strictasof.plans import evaluate, matrix, probability, ranker, scoring, stage_one
-from strictasof.session import stage_table
+from strictasof.plans import evaluate, matrix, probability, ranker, scoring, stage_one, stored_fit
+from strictasof.session import stage_table, staging_folder
+from strictasof.sources import cards, ingest
 
 from .chances import SCORED, SEALED, TODAY, scored
 from .history import MIN_SESSION_N, QUANTILE_SQL, over, shrunk
@@ -258,22 +261,108 @@ def _(spark, folder):
 PENDING_FROM = date(2001, 7, 1)
 
 
-@R.query("pending_scores")
-def _(spark, folder):
-    """All events of the last month scored at once: their entries as a card shows them, over the history before them."""
+def pending_setup(spark, folder):
+    """(stored tables before the last month, tables of the last month's events as their cards show them).
+
+    Cards name entities by key; the register has no key of the parts of size 50, which therefore enter as newcomers.
+    """
     tables = star.event_tables(spark, folder)
-    rows = training_rows(spark, folder)
-    fitted = ranker.fit_rankers(rows.where(F.col("date") < F.lit(PENDING_FROM)), FEATURES, {"main": F.lit("train")}, member=ID)
     coming = tables["races"].where(F.col("date") >= F.lit(PENDING_FROM))
     held = tables["races"].where(F.col("date") < F.lit(PENDING_FROM))
-    entries_ = scoring.before_the_start(tables["runners"].join(coming.select("race_id"), "race_id", "left_semi"))
+    listed = scoring.before_the_start(tables["runners"].join(coming.select("race_id"), "race_id", "left_semi"))
+    key = lambda kind, column: F.concat(F.lit(kind[0]), F.col(column).cast("string"))
+    card = listed.withColumns({f"{kind}_key": key(kind, column) for column, kind in cards.ENTITIES.items()}).drop(*cards.ENTITIES)
+    filed = lambda kind, rows, column: rows.select(
+        F.lit(kind).alias("entity_type"), key(kind, column).alias("source_key"), F.col(column).cast("long").alias("internal_id"))
+    register = (filed("horse", tables["horses"].where("damsire_id IS NOT NULL"), "horse_id")
+                .unionByName(filed("jockey", star.table(spark, folder, "supplier"), "s_suppkey"))
+                .unionByName(filed("trainer", star.table(spark, folder, "customer"), "c_custkey")))
+    pending = cards.pending_tables(coming.drop("n_entries", "n_starters"), card, register)
     stored = {**tables, "races": held, "runners": tables["runners"].join(held.select("race_id"), "race_id", "left_semi")}
-    built = scoring.pending_matrix(stored, {"races": coming, "runners": entries_}, min_session_n=MIN_SESSION_N, keep=("owner_id", "number"))
-    probabilities, why = scoring.score_pending(stage_table(built), entries_, fitted, "main", member=ID)
+    return stored, {name: stage_table(table) for name, table in pending.items()}
+
+
+CARD_SQL = FULL + f"""
+    , card AS (SELECT * FROM entries WHERE date >= DATE '{PENDING_FROM}'),
+    fresh AS (SELECT DISTINCT horse_id AS old_id, 'h' || horse_id AS k FROM card WHERE damsire_id IS NULL),
+    ids AS (SELECT old_id, {cards.TEMPORARY_FROM} - 1 + row_number() OVER (ORDER BY substr(md5(k), 1, 3), k) AS new_id FROM fresh)"""
+
+
+@R.query("pending_card", CARD_SQL + """
+    , sizes AS (SELECT race_id, CAST(count(*) AS INTEGER) AS n_entries, CAST(count(*) FILTER (WHERE status <> '出走取消') AS INTEGER) AS n_starters FROM card GROUP BY 1)
+    SELECT race_id, owner_id, number, CAST(COALESCE(new_id, horse_id) AS BIGINT) AS horse_id, CAST(jockey_id AS BIGINT) AS jockey_id,
+           CAST(trainer_id AS BIGINT) AS trainer_id, new_id IS NOT NULL AS is_new, s.n_entries, s.n_starters
+    FROM card JOIN sizes s USING (race_id) LEFT JOIN ids ON old_id = horse_id""")
+def _(spark, folder):
+    """The entries of all pending events with stored or temporary ids, and their event's sizes by the card."""
+    _, pending = pending_setup(spark, folder)
+    rows = pending["runners"].join(pending["races"].select("race_id", "n_entries", "n_starters"), "race_id")
+    return rows.select("race_id", "owner_id", "number", *[F.col(c).cast("long").alias(c) for c in cards.ENTITIES],
+                       cards.is_temporary(F.col("horse_id")).alias("is_new"), "n_entries", "n_starters")
+
+
+def pending_scored(spark, folder):
+    """(probabilities, drivers) of all events of the last month, scored at once from the history before them."""
+    stored, pending = pending_setup(spark, folder)
+    rows = training_rows(spark, folder)
+    fitted = ranker.fit_rankers(rows.where(F.col("date") < F.lit(PENDING_FROM)), FEATURES, {"main": F.lit("train")}, member=ID)
+    built = scoring.pending_matrix(stored, pending, min_session_n=MIN_SESSION_N, keep=("owner_id", "number"))
+    return scoring.score_pending(stage_table(built), pending["runners"], fitted, "main", member=ID)
+
+
+@R.query("pending_scores")
+def _(spark, folder):
+    """Probability, readiness and first driver of every entry of the pending events, newcomers included."""
+    probabilities, why = pending_scored(spark, folder)
     first = why.where("rank = 1").select(*ID, F.col("family").alias("driver"), F.col("contribution"))
     return probabilities.join(first, list(ID), "left")
 
 
+@R.query("pending_totals", CARD_SQL + """
+    , g AS (SELECT race_id, count(*) FILTER (WHERE status <> '出走取消') AS k, count(new_id) FILTER (WHERE status <> '出走取消') AS n_new,
+                   bool_and(horse_weight IS NOT NULL) AS ready FROM card LEFT JOIN ids ON old_id = horse_id GROUP BY 1)
+    SELECT race_id, k AS n_scored, n_new, ready, 1.0::DOUBLE AS total,
+           CAST(CASE WHEN ready THEN 2 * least(5, k * (k - 1) // 2) + least(5, k * (k - 1)) + least(5, k * (k - 1) * (k - 2) // 6)
+                                     + least(5, k * (k - 1) * (k - 2)) ELSE 0 END AS BIGINT) AS n_combinations
+    FROM g WHERE k > 0""")
+def _(spark, folder):
+    """Per pending event: entries scored, newcomers, sum of the probabilities, and combinations of the events that are ready."""
+    probabilities = stage_table(pending_scored(spark, folder)[0])
+    # the star binding repeats numbers inside an event; a ticket needs one number per entry
+    place = F.row_number().over(Window.partitionBy("race_id").orderBy("number", "horse_id", "owner_id"))
+    tickets = scoring.pending_combinations(probabilities.withColumn("number", place)).groupBy("race_id").agg(F.count("*").alias("n_combinations"))
+    events = probabilities.groupBy("race_id").agg(
+        F.count("*").alias("n_scored"), F.count_if(cards.is_temporary(F.col("horse_id"))).alias("n_new"),
+        F.bool_and("ready").alias("ready"), F.sum("win_prob").alias("total"))
+    return events.join(tickets, "race_id", "left").select(
+        "race_id", "n_scored", "n_new", "ready", r6("total"), F.coalesce("n_combinations", F.lit(0)).alias("n_combinations"))
+
+
+@R.query("stored_fit_scores", CARD_SQL + """
+    SELECT race_id, count(*) AS n_scored, 1.0::DOUBLE AS total, true AS same FROM card WHERE status <> '出走取消' GROUP BY 1""")
+def _(spark, folder):
+    """A model over the whole matrix, fitted on the history, stored, read back and applied to the pending events.
+
+    ``same``: the model as read back scores every entry as the one that was stored.
+    """
+    stored, pending = pending_setup(spark, folder)
+    tables = ingest.overlay(stored, pending)
+    built = stage_table(matrix.feature_matrix(tables, as_of=date(2002, 1, 1), min_session_n=MIN_SESSION_N, keep=("owner_id", "number")))
+    labels = T.graded_labels(stored["runners"]).select(*ID, "label")
+    weights = T.sample_weights(stored["races"], {"G1": 3.0, "G2": 2.0})
+    known = built.join(labels, ID).join(weights, "race_id").join(stored["races"].select("race_id", "date", "grade"), "race_id")
+    fitted = stored_fit.fit(known, PENDING_FROM, ["grade"], MEMBER, flagged=F.col("grade") == "G1")
+    place = f"{staging_folder(spark)}/fit-{uuid.uuid4().hex}"
+    stored_fit.save(fitted, place)
+    rows = built.join(pending["races"].select("race_id"), "race_id", "left_semi")
+    again, _ = stored_fit.score(rows, stored_fit.load(spark, place), [], MEMBER)
+    first, _ = stored_fit.score(rows, fitted, [], MEMBER)
+    both = again.join(first.select(*ID, F.col("win_prob").alias("_first")), list(ID))
+    return both.groupBy("race_id").agg(F.count("*").alias("n_scored"), F.sum("win_prob").alias("total"),
+                                       F.bool_and(F.abs(F.col("win_prob") - F.col("_first")) < 1e-9).alias("same")).select(
+        "race_id", "n_scored", r6("total"), "same")
+
+
 @R.query("feature_catalogue", FULL + """
     SELECT 'F-803' AS name, 'f803_distance' AS "column", '木曜' AS timing, CAST(NULL AS INTEGER) AS minutes_before, TRUE AS event_level,
            count(*) AS n, count(*) - count(distance) AS n_null FROM entries

@@ -95,8 +95,8 @@ def _bucket(key: Column) -> Column:
 
 
 def resolve_keys(keys: DataFrame, known: DataFrame, scope: Sequence[str] = ("entity_type",),
-                 identity: Sequence[str] = ("source", "source_key")) -> DataFrame:
-    """Internal ids for all keys: known ones as stored, new ones numbered after the scope's largest id.
+                 identity: Sequence[str] = ("source", "source_key"), first: int = 1) -> DataFrame:
+    """Internal ids for all keys: known ones as stored, new ones numbered after the scope's largest id, from ``first`` on.
 
     New keys are numbered inside 4,096 hash buckets and shifted by the buckets before them, so no single task
     sees all of them and a rerun gives the same ids.
@@ -115,7 +115,7 @@ def resolve_keys(keys: DataFrame, known: DataFrame, scope: Sequence[str] = ("ent
     numbered = (
         new.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*scope, "_bucket"]).join(largest, scope, "left")
-        .select(*columns, (F.coalesce("_largest", F.lit(0)) + F.col("_offset") + F.col("_rn")).alias("internal_id")))
+        .select(*columns, (F.greatest("_largest", F.lit(first - 1)) + F.col("_offset") + F.col("_rn")).alias("internal_id")))
     return found.where(F.col("internal_id").isNotNull()).unionByName(numbered)
 
 
