@@ -322,8 +322,8 @@ TWO_INPUTS = ranker.Rankers(("score", "weight_carried"), {"main": [1.0, 0.1]}, {
 
 
 @R.query("ablation", MODEL + SCORED + f"""
-    , s2 AS (SELECT l_orderkey AS race_id, l_linenumber AS number, l_extendedprice / 10000 + 0.1 * (50 + l_discount * 100) AS score,
-                    l_extendedprice / 10000 AS other, CASE WHEN status IN ('出走', '降着') AND l_linenumber = 1 THEN 3 ELSE 0 END AS label
+    , s2 AS (SELECT l_orderkey AS race_id, l_linenumber AS number, COALESCE(l_extendedprice / 10000, 0) AS other,
+                    COALESCE(l_extendedprice / 10000, 0) + 0.1 * COALESCE(50 + l_discount * 100, 0) AS score, CASE WHEN status IN ('出走', '降着') AND l_linenumber = 1 THEN 3 ELSE 0 END AS label
              FROM raw_runners WHERE status <> '出走取消'),
     s AS (SELECT *, exp(score) / sum(exp(score)) OVER w AS p, exp(other) / sum(exp(other)) OVER w AS q,
                  CASE WHEN label = 3 THEN 1.0 / count(*) FILTER (WHERE label = 3) OVER w ELSE 0 END AS y FROM s2 WINDOW w AS (PARTITION BY race_id)),
