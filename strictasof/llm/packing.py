@@ -64,8 +64,7 @@ class Encoder:
         if split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix space is expected")
         self.pieces, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
-        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.whole = re.compile("|".join([self.ODD.pattern, *added])).search
+        self.marks = [t["content"] for t in spec["added_tokens"]]
         self.letters = self._letters()
         self.words = _Chunks(self._word, "")
         self.first, self.later = _Chunks(self._chunk, ""), _Chunks(self._chunk, " ")
@@ -85,7 +84,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, self.pieces(chunk)))
 
     def __call__(self, text: str) -> bytes:
-        if self.whole(text):
+        if any(mark in text for mark in self.marks) or self.ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for known in (self.words, self.first, self.later):
             if len(known) > REMEMBERED:
