@@ -13,11 +13,11 @@ from strictasof.functions import scalars as S
 from strictasof.operators import components, effects
 from strictasof.operators import features as X
 from strictasof.plans import folds as T
-from strictasof.plans import evaluate, matrix, probability, ranker, scoring, stage_one, stored_fit
+from strictasof.plans import evaluate, fold_runner, matrix, probability, ranker, scoring, stage_one, stored_fit
 from strictasof.session import stage_table, staging_folder
 from strictasof.sources import cards, ingest
 
-from .chances import SCORED, SEALED, TODAY, scored
+from .chances import GROUPS, SCORED, SEALED, TODAY, scored
 from .history import MIN_SESSION_N, QUANTILE_SQL, over, shrunk
 from .oracle import EVENTS, FULL, IDS, MODEL, RACES, with_tables, rnd
 from .quality import LAPS_SQL, laps
@@ -258,6 +258,35 @@ def _(spark, folder):
     return out.select(*ID, r6("f802"), r6("f802_z", digits=4), r6("f809_win_rate"), "f803_season")
 
 
+def fold_run(spark, folder, rounds=50):
+    """All folds over the whole matrix, with the expected pace of each: ``rounds`` of trees per pace model."""
+    tables = star.event_tables(spark, folder)
+    races = tables["races"]
+    folds = T.fold_rows(T.make_folds(races, TODAY))
+    inputs, target = _inputs(spark, folder)
+    inputs = stage_table(inputs.join(probability.target_population(races, TODAY).select("race_id"), "race_id", "left_semi"))
+    pace = stage_table(stage_one.fold_pace(inputs, target, folds, rounds=rounds))
+    built = fold_runner.fold_matrix(tables, folds, TODAY, pace, keep=("owner_id", "number"), min_session_n=MIN_SESSION_N)
+    labels = T.graded_labels(tables["runners"]).select(*ID, "label")
+    weights = T.sample_weights(races, {"G1": 3.0, "G2": 2.0})
+    rows = stage_table(built.join(labels, ID).join(weights, "race_id"))
+    return fold_runner.run_folds(rows, ["grade"], F.col("grade") == "G1", MEMBER)
+
+
+@R.query("fold_report", MODEL + FOLDS_SQL[len(EVENTS):] + GROUPS + f"""
+    , ran AS (SELECT race_id, any_value(grade) AS grade, any_value(date) AS date, count(*) AS k FROM runners JOIN races USING (race_id)
+              WHERE status <> '出走取消' AND NOT {SEALED} GROUP BY 1),
+    ev AS (SELECT fold_index, grade, k, ll FROM ran JOIN g USING (race_id) JOIN folds ON date BETWEEN valid_start AND valid_end)
+    SELECT fold_index, population, count(*) AS n_races, {rnd('avg(ll)')} AS market_log_loss, {rnd('avg(ln(k))')} AS uniform_log_loss,
+           true AS below_uniform
+    FROM (SELECT *, 'all' AS population FROM ev UNION ALL SELECT *, 'g1' FROM ev WHERE grade = 'G1') GROUP BY 1, 2""")
+def _(spark, folder):
+    """Per fold and population: events, the market's and the uniform loss, and whether the model's is below the latter."""
+    report = fold_runner.fold_report(fold_run(spark, folder).valid, evaluate.market_scores(star.runners(spark, folder)))
+    return report.select("fold_index", "population", "n_races", r6("market_log_loss"), r6("uniform_log_loss"),
+                         (F.col("model_log_loss") < F.col("uniform_log_loss")).alias("below_uniform"))
+
+
 PENDING_FROM = date(2001, 7, 1)
 
 
