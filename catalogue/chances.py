@@ -231,6 +231,18 @@ for _name, _by in (("baseline_report", ""), ("baseline_by_year", "year,")):
     SELECT population, {'CAST(year AS BIGINT) AS year,' if _by else ''} metric_kind, metric_name, strategy, bet_type, n_races, {rnd('value')} AS value FROM long""")
 
 
+@R.query("baseline_intervals", TICKETS + LEDGER + f"""
+    , pop AS (SELECT race_id, 'all' AS population FROM races WHERE NOT {SEALED} UNION ALL SELECT race_id, 'g1' FROM races WHERE NOT {SEALED} AND grade = 'G1')
+    SELECT population, strategy, bet_type, count(*) AS n_races, {rnd('sum(payout_yen) / sum(stake_yen)')} AS value, TRUE AS encloses
+    FROM ledger JOIN pop USING (race_id) GROUP BY 1, 2, 3""")
+def _(spark, folder):
+    """The report's returns per population, and whether each lies in its interval."""
+    out = E.baseline_report(star.races(spark, folder), runners(spark, folder), star.payouts(spark, folder), TODAY, n_boot=10_000)
+    inside = F.col("value").between(F.col("ci_low"), F.col("ci_high"))
+    return out.where("metric_kind = 'return'").select(
+        "population", "strategy", "bet_type", "n_races", r6("value"), inside.alias("encloses"))
+
+
 @R.query("bootstrap_ci")
 def _(spark, folder):
     ledger = E.race_ledger(runners(spark, folder), star.payouts(spark, folder))
@@ -396,10 +408,14 @@ def _(spark, folder):
     return L.score_summary(picks).select("bet_type", "n_bets", r6("roi"), r6("hit_rate"))
 
 
-@R.query("score_picks_ci")
+@R.query("score_picks_ci", TICKETS + PICKS + f"""
+    SELECT bet_type, count(*) AS n_bets, {rnd('sum(ratio * stake) / sum(stake)')} AS roi, TRUE AS encloses
+    FROM bets GROUP BY GROUPING SETS ((bet_type), ())""")
 def _(spark, folder):
+    """Bets and return per ticket type and overall, and whether the interval encloses the return."""
     picks = L.settled_picks(prediction_records(spark, folder), runners(spark, folder), star.payouts(spark, folder))
-    return bootstrap.bootstrap_interval(picks, F.col("payout_ratio") * F.col("stake"), F.col("stake"), seed=42, by=["bet_type"])
+    inside = F.col("roi").between(F.col("ci_low"), F.col("ci_high"))
+    return L.score_intervals(picks).select("bet_type", "n_bets", r6("roi"), inside.alias("encloses"))
 
 
 @R.query("score_warnings", TICKETS + """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -189,6 +189,40 @@ def _(spark, folder):
     return Q.broken_rules(star.races(spark, folder), ["race_id"], Q.event_rules())
 
 
+@R.query("qc_entry_rules", """
+    WITH e AS (SELECT l_orderkey AS race_id, l_partkey AS horse_id, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS line FROM lineitem)
+    SELECT race_id, horse_id, 'status' AS rule FROM e WHERE flag <> 'A'
+    UNION ALL SELECT race_id, horse_id, 'number >= 1' FROM e WHERE n - 1 < 1
+    UNION ALL SELECT race_id, horse_id, 'finish_pos >= 1' FROM e WHERE flag = 'A' AND n - 2 < 1
+    UNION ALL SELECT race_id, horse_id, 'affiliation' FROM e WHERE line <> 'F'""")
+def _(spark, folder):
+    """Entries whose flags stand for statuses and places, so that every rule is broken somewhere; a missing place holds."""
+    flag, line, n = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    rows = star.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("race_id"), F.col("l_partkey").alias("horse_id"), F.when(flag == "A", "出走").otherwise(flag).alias("status"),
+        (n - 1).alias("number"), F.when(flag == "A", n - 2).alias("finish_pos"), F.when(line == "F", "東").otherwise(line).alias("affiliation"))
+    return Q.broken_rules(rows, ["race_id", "horse_id"], Q.entry_rules())
+
+
+@R.query("qc_odds_rules", """
+    WITH o AS (SELECT l_orderkey AS race_id, l_linenumber AS number, CASE WHEN l_tax > 0 THEN l_quantity - 5 END AS low, l_linenumber * 10 AS high FROM lineitem)
+    SELECT race_id, number, 'odds_high >= odds_low' AS rule FROM o WHERE high < low
+    UNION ALL SELECT race_id, number, 'odds_low > 0' FROM o WHERE low <= 0""")
+def _(spark, folder):
+    """Ranges of odds from quantities and line numbers; a missing end holds."""
+    rows = star.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("race_id"), F.col("l_linenumber").alias("number"),
+        F.when(F.col("l_tax") > 0, F.col("l_quantity") - 5).alias("odds_low"), (F.col("l_linenumber") * 10).alias("odds_high"))
+    return Q.broken_rules(rows, ["race_id", "number"], Q.odds_rules())
+
+
+@R.query("qc_run", MODEL + """
+    SELECT CAST(1 AS BIGINT) AS run_id, DATE '1995-01-01' AS scope_from, CAST(NULL AS DATE) AS scope_to,
+           (SELECT count(*) FROM races) AS n_races, (SELECT count(*) FROM runners) AS n_runners""")
+def _(spark, folder):
+    return Q.run_row(tables(spark, folder), 1, datetime(2001, 8, 1), scope_from=date(1995, 1, 1)).drop("started_at")
+
+
 @R.query("qc_findings", None)
 def _(spark, folder):
     return Q.findings(tables(spark, folder), run_id=1)

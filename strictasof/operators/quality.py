@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -209,6 +210,14 @@ def findings(tables: Tables, run_id: int, per_check: int | None = None) -> DataF
     return failed.unionByName(warned).withColumn("run_id", F.lit(run_id).cast("long"))
 
 
+def run_row(tables: Tables, run_id: int, started_at: datetime, scope_from: date | None = None, scope_to: date | None = None) -> DataFrame:
+    """The run's own ledger row: when it began, the dates it was asked for and how much it looked at."""
+    entries = tables["runners"].agg(F.count("*").alias("n")).scalar()
+    return tables["races"].agg(F.count("*").alias("n_races")).select(
+        F.lit(run_id).cast("long").alias("run_id"), F.lit(started_at).cast("timestamp").alias("started_at"),
+        F.lit(scope_from).cast("date").alias("scope_from"), F.lit(scope_to).cast("date").alias("scope_to"), "n_races", entries.alias("n_runners"))
+
+
 def fail_counts(tables: Tables) -> DataFrame:
     """Violations per check, zeros included."""
     names = tables["races"].sparkSession.createDataFrame([(n,) for n in FAIL_CHECKS], "check_id string")

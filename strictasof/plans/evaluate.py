@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..operators.grouped import softmax, top_per_group
+from .bootstrap import bootstrap_interval
 from .probability import EPS, market_probability, target_population, tie_split_label
 
 FAVOURITE, UNIFORM = "favorite", "uniform"
@@ -116,10 +117,12 @@ def _with_populations(races: DataFrame, today: date, sealed_years: int) -> DataF
 
 
 def baseline_report(races: DataFrame, entries: DataFrame, payouts: DataFrame, today: date, sealed_years: int = 3,
-                    by_year: bool = False, ledger_entries: DataFrame | None = None) -> DataFrame:
+                    by_year: bool = False, ledger_entries: DataFrame | None = None, n_boot: int | None = None,
+                    seed: int = 20260819) -> DataFrame:
     """Long table of market probability metrics and returns per population (and year).
 
-    ``ledger_entries`` may name another entry frame for the tickets.
+    ``ledger_entries`` may name another entry frame for the tickets. With ``n_boot`` resamples of the events, returns have
+    their percentile interval (``ci_low``, ``ci_high``); other metrics have none.
     """
     events = _with_populations(races, today, sealed_years)
     by = ["population", "year"] if by_year else ["population"]
@@ -130,10 +133,16 @@ def baseline_report(races: DataFrame, entries: DataFrame, payouts: DataFrame, to
     long = metrics.select(*by, "n_races", points.alias("m")).select(
         *by, F.lit("probability").alias("metric_kind"), F.col("m.name").alias("metric_name"),
         none.alias("strategy"), none.alias("bet_type"), "n_races", F.col("m.value").alias("value"))
-    roi = returns(race_ledger(entries if ledger_entries is None else ledger_entries, payouts).join(events, "race_id"), [*by, "strategy", "bet_type"]).select(
+    ledger = race_ledger(entries if ledger_entries is None else ledger_entries, payouts).join(events, "race_id")
+    slices = [*by, "strategy", "bet_type"]
+    roi = returns(ledger, slices).select(
         *by, F.lit("return").alias("metric_kind"), F.lit("roi").alias("metric_name"), "strategy", "bet_type",
         "n_races", F.col("roi").alias("value"))
-    return long.unionByName(roi)
+    if n_boot is None:
+        return long.unionByName(roi)
+    ends = bootstrap_interval(ledger, F.col("payout_yen"), F.col("stake_yen"), n_boot, seed, slices)
+    roi = roi.join(ends.select(*slices, "ci_low", "ci_high"), slices, "left")
+    return long.unionByName(roi, allowMissingColumns=True)
 
 
 def to_markdown(report: DataFrame, title: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
+from ..plans.bootstrap import bootstrap_interval
 
 PICK = T.StructType([
     T.StructField("bet_type", T.StringType()), T.StructField("horse_numbers", T.ArrayType(T.IntegerType())),
@@ -83,6 +84,19 @@ def score_summary(picks: DataFrame) -> DataFrame:
         F.avg(F.when(gross > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("hit_rate"))
 
 
+def score_intervals(picks: DataFrame, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
+    """Return with its percentile interval over resampled picks, per ticket type and overall (``bet_type`` null).
+
+    Without picks there are no rows.
+    """
+    kinds = F.explode(F.array(F.struct(F.col("bet_type").alias("_kind"), F.lit(False).alias("_all")),
+                              F.struct(F.lit("").alias("_kind"), F.lit(True).alias("_all"))))
+    units = picks.select("payout_ratio", "stake", kinds.alias("_k")).select("payout_ratio", "stake", "_k.*")
+    found = bootstrap_interval(units, F.col("payout_ratio") * F.col("stake"), F.col("stake"), n_boot, seed, ["_kind", "_all"])
+    return found.select(F.when(~F.col("_all"), F.col("_kind")).alias("bet_type"), F.col("n").alias("n_bets"),
+                        F.col("ratio").alias("roi"), "ci_low", "ci_high")
+
+
 def log_warnings(log: DataFrame, entries: DataFrame) -> DataFrame:
     """Counts that qualify a score: logged and settled events, records made before weights were known."""
     settled = entries.where(F.col("finish_pos").isNotNull()).select("race_id").distinct().withColumn("_s", F.lit(True))

@@ -270,6 +270,10 @@ def test_prediction_log_round_trip(spark, tmp_path):
     assert picks == {"複勝": (0.0, -1.0), "ワイド": (4.5, 3.5)}
     summary = {r["bet_type"]: (r["n_bets"], r["roi"], r["hit_rate"]) for r in L.score_summary(L.settled_picks(log, entries, pays)).collect()}
     assert summary == {"複勝": (1, 0.0, 0.0), "ワイド": (1, 4.5, 1.0), None: (2, 2.25, 0.5)}
+    ends = {r["bet_type"]: r for r in L.score_intervals(L.settled_picks(log, entries, pays), n_boot=200).collect()}
+    assert {k: (r["n_bets"], r["roi"]) for k, r in ends.items()} == {"複勝": (1, 0.0), "ワイド": (1, 4.5), None: (2, 2.25)}
+    assert (ends[None]["ci_low"], ends[None]["ci_high"], ends["ワイド"]["ci_low"]) == (0.0, 4.5, 4.5)
+    assert L.score_intervals(L.settled_picks(log, entries.limit(0), pays), n_boot=10).count() == 0
     assert tuple(L.log_warnings(log, entries).first()) == (2, 1, 2)
     new = make([record(1, "b", [pick("単勝", [1])]), record(2, "a", [pick("単勝", [1])]), record(2, "b", [pick("三連単", [1, 2, 3])]),
                 record(2, "c", [pick("ワイド", [1])]), record(2, "d", []), record(2, "e", [pick("単勝", [1], 0.0)]),

@@ -1,6 +1,6 @@
 """Loading jobs, quality checks, scalar functions, catalogue and the registered queries."""
 
-from datetime import date
+from datetime import date, datetime
 
 import os
 
@@ -106,6 +106,10 @@ def test_constraints(spark):
     assert [tuple(r) for r in Q.duplicate_keys(runners, ["race_id", "horse_id"]).collect()] == [(1, 1, 2)]
     assert Q.missing_parents(runners, races, ["race_id"]).count() == 1
     assert [r["rule"] for r in Q.broken_rules(runners, ["race_id"], Q.entry_rules()).collect()] == ["affiliation"]
+    odds = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 2.0), (3, 0.0, 1.0), (4, None, 1.0), (5, 2.0, 2.0)], "race_id long, odds_low double, odds_high double")
+    assert {tuple(r) for r in Q.broken_rules(odds, ["race_id"], Q.odds_rules()).collect()} == {(2, "odds_high >= odds_low"), (3, "odds_low > 0")}
+    run = Q.run_row({"races": races, "runners": runners}, 7, datetime(2020, 1, 1, 9), scope_to=date(2020, 2, 1)).first()
+    assert tuple(run) == (7, datetime(2020, 1, 1, 9), None, date(2020, 2, 1), 3, 4)
 
 
 def test_log_upsert_and_replacement_are_idempotent(spark):
