@@ -33,8 +33,8 @@ from .registry import query
 WORDS, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: index entries of one value that meet in one task; more are dealt out in blocks
 BLOCK = 4096
-#: pairs compared at a time
-PAIRS = 1 << 20
+#: pairs compared, and probes made, at a time
+PAIRS = 1 << 18
 #: cost of one probe against one verified candidate, in the choice of thresholds
 PROBE_COST = 4.0
 #: most of the 192 bits that candidates for a Jaccard index of 0.8 may differ in: their mean is 29, and 3 in 10 million
@@ -221,11 +221,12 @@ def probes(nodes: DataFrame, chosen: list[tuple[list[int], int]], carried: list[
     for p, (bits, e) in enumerate(chosen):
         index, probe = _shared(e)
         plan.append((p, bits, _flips(len(bits), 0, index), _flips(len(bits), index + 1, probe)))
+    step = max(1, PAIRS // max([1, *(len(held) + len(tried) for _, _, held, tried in plan)]))
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 fp = part.column("fp").to_numpy().view(np.uint64)
                 for p, bits, held, tried in plan:
                     own = _gather(fp, bits)

@@ -21,12 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, widened
+from .common import parts_by_size, stage, widened
 from .registry import query
 
 CAPACITY, SEPARATOR = 2048, 0
 #: chunks of text whose ids one Python worker remembers; it starts anew beyond, so this bounds memory, not results
 REMEMBERED = 500_000
+#: code points of a chunk that is remembered: a text without spaces is one chunk
+LONGEST = 64
+#: bytes of text encoded at a time
+PART_BYTES = 1 << 20
 
 
 class _Chunks(dict):
@@ -37,7 +41,9 @@ class _Chunks(dict):
         self.encode, self.before = encode, before
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(self.before + chunk)
+        ids = self.encode(self.before + chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
 
@@ -81,7 +87,11 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pieces(chunk)))
+        found = self.pieces(chunk)
+        if len(found) == 1:  # the chunk is what is remembered, not the word beside it
+            return self._word(chunk)
+        # a word after a space is the chunk of that word
+        return b"".join([self.later[p[1:]] if len(p) > 1 and p[0] == " " and not p[1].isspace() else self.words[p] for p in found])
 
     def __call__(self, text: str) -> bytes:
         if any(mark in text for mark in self.marks) or self.ODD.search(text):
@@ -113,7 +123,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", capacity: int = CAPAC
 
     def cut(batches):
         encode, block, seen = encoder(path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_size(whole, text, PART_BYTES)):
             row, out = [], [[] for _ in range(6)]
             data = []
             for i, value in enumerate(batch.column(text)):

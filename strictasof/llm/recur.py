@@ -29,7 +29,7 @@ from .common import SPACES, Rolling, bundle, flat_bytes, mix, numbered, parts_by
 #: units handled at a time when anchors are sought; also the room for positions in a sort key
 CHUNK, POSITION_BITS = 1 << 20, 24
 #: bytes of text handled at a time
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 18
 #: different segments of one anchor that are judged in one shard
 CROWD = 2000
 #: bytes of segments that one shuffled partition aims at

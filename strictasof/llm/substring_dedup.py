@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, unbundle, widened
-from .recur import WORDS, covered, recurring, runs_of, window_hashes
+from .common import mix, parts_by_size, unbundle, widened
+from .recur import PART_BYTES, WORDS, covered, recurring, runs_of, window_hashes
 from .registry import query
 
 LENGTH, GRAM = 35, 12
@@ -82,7 +82,7 @@ def removed_passages(docs: DataFrame, length: int = LENGTH, text: str = "text",
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_size(whole, "text", PART_BYTES)):
             n, gone, runs, kept = [], [], [], []
             for value, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "spans"))):
                 words = value.encode().split()
