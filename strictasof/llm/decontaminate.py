@@ -21,13 +21,22 @@ from .registry import query
 WINDOW, SHINGLE = 10, 5
 #: bytes of windows up to which they are sent to every task
 BROADCAST_BYTES = 32 << 20
-#: what separates words, after lower-casing
+#: what separates words, after lower-casing and before it
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text; none for null."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAPS), "")
+    text = F.coalesce(text, F.lit(""))
+    # in plain ASCII, ``lower`` changes A-Z only, and it need not look up each character
+    lowered = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(lower_ascii(text))
+    return F.array_remove(F.split(lowered, GAPS), "")
+
+
+def word_count(text: Column) -> Column:
+    """How many words :func:`words_of` gives."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), RAW_GAPS), ""))
 
 
 def text_key(text: Column) -> Column:
@@ -58,9 +67,12 @@ def _hash(words: Column) -> Column:
 
 
 def _document_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(key, w, at, h): every shingle of ``size`` words of every text, with the words still at hand."""
-    return docs.where(F.size("w") >= size).select(
-        "key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at")).withColumn(
+    """(key, w, at, h): every shingle of ``size`` words of every text, with the words still at hand.
+
+    Too short texts give an empty list of places: a filter on their words would be moved below and split each text anew.
+    """
+    places = F.array_repeat(F.lit(0).cast("byte"), F.size("w") - (size - 1))
+    return docs.select("key", "w", F.posexplode(places).alias("at", "_zero")).drop("_zero").withColumn(
         "h", F.xxhash64(*[F.col("w")[F.col("at") + j] for j in range(size)]))
 
 
@@ -73,7 +85,7 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     tokens = windows.select("window_words", "length", "item_ids", F.explode("shingles").alias("s")).select(
         "window_words", "length", "item_ids", "s.*")
     sizes = [r.size for r in tokens.select("size").distinct().collect()]  # at most ``shingle`` numbers
-    words = docs.select(text_key(F.col(text)).alias("key"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
+    words = docs.select(text_key(F.col(text)).alias("key"), words_of(F.col(text)).alias("w"))
     found = None
     for n in sorted(sizes):
         mine = tokens.where(F.col("size") == n)
@@ -115,7 +127,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
     # stored, so that the rows of a text with very many copies can be split in the join
     by_text = stage(by_text.select(F.col("key").alias("_key"), _union_length(F.col("spans")).alias("n_hit"), "items"), "hits")
-    rows = docs.select(*kept, text_key(F.col(text)).alias("_key"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    rows = docs.select(*kept, text_key(F.col(text)).alias("_key"), word_count(F.col(text)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(by_text, "_key", "left").select(
         *kept, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"),

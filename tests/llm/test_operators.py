@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +302,18 @@ def test_decontamination_small(spark):
     assert not none.where("contaminated").count() and none.count() == len(texts)
 
 
+def test_decontamination_splits_each_text_once(spark):
+    from pyspark.sql import functions as F
+    texts = [None, "", "one", "A-Z É É İI K2 ẞ ß plain", "PLAIN ascii, \x7f text 09", "日本 Ǆ x\x00Y", "-lead and trail-", "Ünder É"]
+    docs = frame(spark, with_noise(texts))
+    for r in docs.select("text", decontaminate.words_of(F.col("text")).alias("w"), decontaminate.word_count(F.col("text")).alias("n")).collect():
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")
+        assert r.w == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered) and r.n == len(r.w)
+    items = frame(spark, [(1, " ".join(f"b{i}" for i in range(14)))], "item_id long, text string")
+    plan = decontaminate.find_windows(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_url_cascade_is_exact(spark):
     keys = [(f"k{i}", i % 7 == 0) for i in range(3000)] + [("k0", False)]
     universe = frame(spark, keys, "key string, listed boolean")
