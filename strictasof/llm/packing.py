@@ -14,6 +14,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import accumulate
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .common import parts_by_size, stage, widened
 from .registry import query
 
 CAPACITY, SEPARATOR = 2048, 0
-#: chunks of text whose ids one Python worker remembers; it starts anew beyond, so this bounds memory, not results
-REMEMBERED = 500_000
+#: chunks of text after which a Python worker remembers anew, beside as many before; this bounds memory, not results
+REMEMBERED = 300_000
 #: code points of a chunk that is remembered: a text without spaces is one chunk
 LONGEST = 64
 #: bytes of text encoded at a time
@@ -34,18 +35,27 @@ PART_BYTES = 1 << 20
 
 
 class _Chunks(dict):
-    """Ids, as little-endian bytes, of the chunks of text between single spaces, each worked out when first met."""
+    """Ids, as little-endian bytes, of the chunks of text between single spaces, each worked out when first met.
 
-    def __init__(self, encode, before: str):
+    ``older`` are those met before the last renewal: the frequent ones come back from there.
+    """
+
+    def __init__(self, encode, before: str, older: dict[str, bytes] | None = None):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.before, self.older = encode, before, older or {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.before + chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk, self.before)
         if len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
+    def renewed(self) -> _Chunks:
+        self.older = {}
+        return _Chunks(self.encode, self.before, self)
+
 
 class Encoder:
     """Byte-level BPE ids of whole texts.
@@ -56,6 +66,8 @@ class Encoder:
     """
 
     ODD = re.compile(r"\s \s")
+    #: what the pattern cuts at most in two, behind the letters: Latin letters, then ASCII punctuation
+    WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         import json
@@ -72,6 +84,7 @@ class Encoder:
         self.pieces, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.letters = self._letters()
+        self.space = chr(self.letters[32])
         self.words = _Chunks(self._word, "")
         self.first, self.later = _Chunks(self._chunk, ""), _Chunks(self._chunk, " ")
 
@@ -82,23 +95,33 @@ class Encoder:
         others = [b for b in range(256) if b not in set(printable)]
         return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
-    def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.pieces(chunk)
-        if len(found) == 1:  # the chunk is what is remembered, not the word beside it
-            return self._word(chunk)
+    def _ids(self, spelled: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str, before: str = "") -> bytes:
+        return self._ids((before + word).encode().decode("latin-1").translate(self.letters))
+
+    def _chunk(self, chunk: str, before: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one word, spelled as it is
+            return self._ids(self.space + chunk if before else chunk)
+        if found := self.WORD.fullmatch(chunk):
+            word, marks = found.groups()
+            if not marks:  # the chunk is what is remembered, not the word beside it
+                return self._word(word, before)
+            return (self.later if before else self.words)[word] + self.words[marks]
+        found = self.pieces(before + chunk)
+        if len(found) == 1:
+            return self._word(chunk, before)
         # a word after a space is the chunk of that word
         return b"".join([self.later[p[1:]] if len(p) > 1 and p[0] == " " and not p[1].isspace() else self.words[p] for p in found])
 
     def __call__(self, text: str) -> bytes:
         if any(mark in text for mark in self.marks) or self.ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        for known in (self.words, self.first, self.later):
-            if len(known) > REMEMBERED:
-                known.clear()
+        known = self.words, self.first, self.later
+        if sum(map(len, known)) > REMEMBERED:
+            self.words, self.first, self.later = (k.renewed() for k in known)
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 

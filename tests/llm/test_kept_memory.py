@@ -1,5 +1,7 @@
 """What a Python worker keeps from one task to the next."""
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -50,6 +52,22 @@ def test_encoder_remembers_short_chunks_once():
     assert "words" in encode.later and " words" not in encode.words
 
 
+def test_encoder_keeps_frequent_chunks_and_seeks_no_pattern_in_plain_words(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    letters = "abcdefghijklmnopqrstuvwxyzñéüßÅ"
+    texts = ["Often, " + " ".join(f"{a}{b}{c}" for b in letters) + " often said (so\"). Often\noften's" for a in letters[::6] for c in ("x", "ó.", "z,'")]
+    spelled, sought, ids, pieces = Counter(), [], encode._ids, encode.pieces
+    encode._ids = lambda w: spelled.update([w]) or ids(w)
+    encode.pieces = lambda t: sought.append(t) or pieces(t)
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        assert sum(len(k) + len(k.older) for k in (encode.words, encode.first, encode.later)) <= 2 * (40 + len(t))
+    assert spelled["\u0120often"] == 1 and set(sought) == {" (so\").", " (", " Often\noften's"}
+
+
 def test_probes_are_made_some_at_a_time():
     n = 6000
     fp = np.random.default_rng(2).integers(0, 1 << 62, n)
