@@ -445,6 +445,33 @@ def test_lm_scores(spark):
     assert lm_scoring.scored(docs.limit(0)).count() == 0
 
 
+def test_rare_words_are_in_classes_by_their_own_bigrams(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 3)  # the end, p and q; the others share an ending and their counts
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        a, b = rng.sample(range(20), 20), rng.sample(range(20), 20)
+        rows.append((i, " ".join(f"p a{x}xyz q b{y}xyz" for x, y in zip(a, b))))
+    rows += [(1000, "p a7xyz"), (1001, "p b7xyz"), (1002, "q b7xyz"), (1003, "q a7xyz")]
+    docs = frame(spark, rows, "doc_id long, text string")
+    held = F.col("doc_id") >= 1000
+    got = {r.doc_id: r for r in lm_scoring.scored(docs, held, rounds=2).collect()}
+    assert len({round(got[i].base_score, 9) for i in range(1000, 1004)}) == 1
+    assert got[1000].score > got[1001].score + 1 and got[1002].score > got[1003].score + 1
+    monkeypatch.setattr(lm_scoring, "TOKENS_PER_ROW", 700)  # several rows, those of p and q spread over all
+    again = {r.doc_id: r for r in lm_scoring.scored(docs, held, rounds=2, block_bytes=2000).collect()}
+    assert {i: r.n_known for i, r in again.items()} == {i: r.n_known for i, r in got.items()}
+    assert again[1000].score > again[1001].score + 1 and again[1002].score > again[1003].score + 1
+
+
+def test_packed_bigrams_come_back():
+    pairs = np.array([3 << 32 | 5, 3 << 32 | 9, 70000 << 32, (2**31 - 1) << 32 | (2**31 - 1)])
+    unit, other, n = lm_scoring.unpacked(lm_scoring.packed(pairs, np.array([1, 2, 1 << 40, 7])))
+    assert (unit << 32 | other == pairs).all() and n.tolist() == [1, 2, 1 << 40, 7]
+    assert [len(x) for x in lm_scoring.unpacked(None)] == [0, 0, 0]
+
+
 def test_best_moves_raise_the_likelihood():
     rng = np.random.default_rng(2)
     units, classes = 12, 4
